@@ -140,13 +140,29 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a source's partly drawn blocks: each document that still fits is taken once more."""
+    """Of a source's partly drawn blocks: each document that still fits is taken once more.
+
+    Then taken documents are exchanged for longer ones as long as that brings the words nearer.
+    """
     rows = rows.sort_values(["tie", "doc_id", "same", "size"], kind="stable", na_position="last")
     left, extra = int(rows["fill"].iloc[0]), []
     for size in rows["size"]:
         fits = 0 < size <= left
         left -= size if fits else 0
         extra.append(int(fits))
+    sizes, extra = rows["size"].to_numpy(), np.array(extra)
+    for _ in range(64):
+        out, taken = np.flatnonzero((extra == 0) & (sizes > 0)), np.flatnonzero(extra)
+        if left <= 0 or not len(out) or not len(taken):
+            break
+        taken = taken[np.argsort(sizes[taken], kind="stable")]
+        at = np.searchsorted(sizes[taken], sizes[out] - left)  # the shortest that makes enough room
+        gain = np.where(at < len(taken), sizes[out] - sizes[taken[np.minimum(at, len(taken) - 1)]], 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            break
+        extra[out[best]], extra[taken[at[best]]] = 1, 0
+        left -= int(gain[best])
     return rows.assign(extra=extra)[["doc_id", "source", "size", "same", "extra"]]
 
 
