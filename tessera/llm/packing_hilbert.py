@@ -126,8 +126,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096
         enc.withColumn("tie", F.xxhash64("ids"))
         .repartitionByRange(2 * wide(spark), "key", "doc_id", "tie")
         .sortWithinPartitions("key", "doc_id", "tie")
-        .select("doc_id", "n", "ids")
-        .withColumn("part", F.spark_partition_id())
+        .select("doc_id", "n", "ids", F.spark_partition_id().alias("part"), "key", "tie")
     )
     # the order is fixed by being written: totals and pieces come from the same files
     ordered = written(dealt, "ordered")
@@ -163,4 +162,4 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096
 
 def _by_file(ordered: DataFrame) -> DataFrame:
     """The written partitions again, each whole and in its order in one task."""
-    return ordered.repartition(2 * wide(ordered.sparkSession), "part").sortWithinPartitions("part")
+    return ordered.repartition(2 * wide(ordered.sparkSession), "part").sortWithinPartitions("part", "key", "doc_id", "tie").select("doc_id", "n", "ids", "part")
