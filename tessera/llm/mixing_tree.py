@@ -36,6 +36,8 @@ from .shared import WORD, wide, written
 BLOCKS, SHARDS, SEED = 512, 64, 5
 #: Documents of the partly drawn blocks on either side of a source's target, if it has so many.
 MARGIN = 1000
+#: Documents among which the choice is exact.
+EXACT = 48
 #: Share of all words that the mix has, weights by source in turn, and most passes over a source.
 SHARE, WEIGHTS, PASSES = 1.5, (3, 1, 2), 2.0
 #: Rows of the plan up to which it is broadcast.
@@ -142,7 +144,7 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a source's partly drawn blocks: each document that still fits is taken once more.
 
-    Then taken documents are exchanged for longer ones as long as that brings the words nearer.
+    Of the first ``EXACT`` of them it is chosen anew which are taken, so that the fewest words are missing.
     """
     rows = rows.sort_values(["tie", "doc_id", "same", "size"], kind="stable", na_position="last")
     left, extra = int(rows["fill"].iloc[0]), []
@@ -150,19 +152,17 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         fits = 0 < size <= left
         left -= size if fits else 0
         extra.append(int(fits))
-    sizes, extra = rows["size"].to_numpy(), np.array(extra)
-    for _ in range(64):
-        out, taken = np.flatnonzero((extra == 0) & (sizes > 0)), np.flatnonzero(extra)
-        if left <= 0 or not len(out) or not len(taken):
-            break
-        taken = taken[np.argsort(sizes[taken], kind="stable")]
-        at = np.searchsorted(sizes[taken], sizes[out] - left)  # the shortest that makes enough room
-        gain = np.where(at < len(taken), sizes[out] - sizes[taken[np.minimum(at, len(taken) - 1)]], 0)
-        best = int(np.argmax(gain))
-        if gain[best] <= 0:
-            break
-        extra[out[best]], extra[taken[at[best]]] = 1, 0
-        left -= int(gain[best])
+    # of the first few documents, the choice that leaves the fewest words: sums as bits of an integer
+    sizes = [int(x) for x in rows["size"][:EXACT]]
+    room = left + sum(x for x, on in zip(sizes, extra, strict=False) if on)
+    reach = [1]
+    for x in sizes:
+        reach.append(reach[-1] | reach[-1] << x & (1 << room + 1) - 1)
+    best = reach[-1].bit_length() - 1
+    for k in range(len(sizes) - 1, -1, -1):
+        skip = bool(reach[k] >> best & 1)
+        extra[k] = 0 if skip or not sizes[k] else 1
+        best -= 0 if skip else sizes[k]
     return rows.assign(extra=extra)[["doc_id", "source", "size", "same", "extra"]]
 
 

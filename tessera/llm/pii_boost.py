@@ -180,6 +180,7 @@ def examples(seed: int = 3) -> list[tuple[list[float], int]]:
             (word() + "_" + word() + pick(dig, 1), plain, 0),
             (word() + word() + word(), secret.replace("=", "").replace(":", ""), 0),
         ]
+    rng.shuffle(rows)  # so that either half has all kinds
     return [(features_of(t, b), y) for t, b, y in rows if len(t) >= 9]
 
 
@@ -239,7 +240,8 @@ def boosted(rounds: int = 25, depth: int = 3, rate: float = 0.5) -> tuple[list,
     threshold, hits = 0.0, 0
     for n, (s, label) in enumerate(seen, 1):
         hits += label
-        if hits / n >= 0.99:
+        last_of_score = n == len(seen) or seen[n][0] < s
+        if last_of_score and hits / n >= 0.99:
             threshold = s
     return [(rate, t) for t in trees], threshold
 
