@@ -17,12 +17,17 @@ therefore first restricted to fingerprints that agree on a key:
   blocks misses no pair: the result is exact.
 * ``similar`` (for a Jaccard threshold, where the radius is too large for that)
   uses keys of sampled bits, whose width and number follow from the number of
-  fingerprints, and verifies survivors on the texts' whole shingle sets.
+  fingerprints, and verifies survivors on the texts' whole shingle sets.  Fingerprints
+  of short texts scatter, so some pairs at the threshold lie beyond any useful radius.
+  Texts of different groups therefore also meet at the shingles that come first in a
+  common order: sets with that Jaccard share one of them, so the result is exact.
 
 Equal fingerprints are one class, represented by its smallest ``doc_id``, before
 anything is compared: copies never become pairs.  Each task keeps of the links
 that it finds in a chunk only a spanning forest, which connects the same
-fingerprints, so a group of near copies doesn't become pairs either.
+fingerprints, so a group of near copies doesn't become pairs either.  The rows of a
+key with more than ``BLOCK`` of them are split into blocks, each two of which meet in a
+group of their own, so no task holds a whole hot key.
 
 Defined results: a null text is an empty text; no words give fingerprint zero,
 linked like any other; rows with a null ``doc_id`` get the class of their
@@ -48,6 +53,10 @@ from .shared import components, forget, wide, written
 PIVOTS, PIVOT_SEED = 12, 20
 #: Pairs that a task expands at once.
 CHUNK = 1_000_000
+#: Rows of a key that a task compares at once; a hot key is split into blocks of about as many.
+BLOCK = 50_000
+#: Counters of shingles, by the low bits of their hash: a fixed size, whatever the corpus.
+SLOTS = 1 << 17
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -96,9 +105,11 @@ def pivot_table(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ pivots[None, :])
 
 
-def close_pairs(keys: np.ndarray, fp: np.ndarray, radius: int):
+def close_pairs(keys: np.ndarray, fp: np.ndarray, radius: int, side: np.ndarray | None = None):
     """Yield arrays (i, j, distance) of the rows with equal keys whose fingerprints are within ``radius``.
 
+    With ``side``, rows of side 0 and 1 meet only each other.
+
     Rows are put in order of key and first pivot distance; the partners of a row
     stand in the window of its key up to ``radius`` further on that axis.  The
     other coordinates then discard pairs, and the rest is verified.
@@ -125,7 +136,11 @@ def close_pairs(keys: np.ndarray, fp: np.ndarray, radius: int):
             i, j = i[low], j[low]
         d = np.bitwise_count(own[i] ^ own[j])
         near = d <= radius
-        yield order[i[near]], order[j[near]], d[near]
+        i, j, d = order[i[near]], order[j[near]], d[near]
+        if side is not None:
+            apart = (side[i] == BOTH) | (side[i] != side[j])
+            i, j, d = i[apart], j[apart], d[apart]
+        yield i, j, d
         at = end
 
 
@@ -158,37 +173,69 @@ def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tup
     return high[first], low[first]
 
 
-def _search(radius: int, by_nearest: bool):
-    """A function for mapInArrow over rows (key, fp, rep) in key order: links (a, b) between reps."""
+#: Side of a row whose block meets itself, or whose key isn't split.
+BOTH = 2
 
-    def links(keys, fp, rep):
-        for i, j, d in close_pairs(keys, fp, radius):
-            if len(i):
-                a, b = nearest(i, j, d, rep) if by_nearest else forest(i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+
+def dealt(keyed: DataFrame, node: str) -> DataFrame:
+    """Rows by ``key`` in key order, with ``side``; those of a hot key once for each block that theirs meets.
+
+    The group of two blocks gets a key of its own.  Should two groups' keys agree, their
+    rows are compared with each other too, which loses nothing.
+    """
+    spark = keyed.sparkSession
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > BLOCK), "hot-keys")
+    names = keyed.columns
+    if hot.isEmpty():
+        met = keyed.withColumn("side", F.lit(BOTH))
+    else:
+        hot = hot.select(F.col("key").alias("hk"), F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+        at = keyed.join(hot, F.col("key") == F.col("hk"), "left").withColumn("own", F.pmod(F.xxhash64(node, F.lit(1)), "blocks"))
+        side = lambda o: F.when(o == F.col("own"), BOTH).when(o > F.col("own"), 0).otherwise(1)
+        group = lambda o: F.xxhash64("key", F.least(o, "own"), F.greatest(o, "own"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(group(o).alias("key"), side(o).alias("side")))
+        alone = F.array(F.struct(F.col("key"), F.lit(BOTH).alias("side")))
+        at = at.withColumn("met", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)))
+        met = at.select(*[F.col("met.key") if n == "key" else F.col(n) for n in names], "met.side")
+    return met.repartition(2 * wide(spark), "key").sortWithinPartitions("key")
+
+
+def by_whole_keys(compare):
+    """A function for mapInArrow over rows in order of their first column, a key: ``compare`` gets arrays with whole keys."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
-            part = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            part = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
             if not len(part[0]):
                 continue
             held.append(part)
             rows += len(part[0])
             if rows < 200_000 or held[0][0][0] == part[0][-1]:
                 continue
-            keys, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            yield from links(keys[:cut], fp[:cut].view(np.uint64), rep[:cut])
-            held, rows = [(keys[cut:], fp[cut:], rep[cut:])], len(keys) - cut
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+            yield from compare(*[x[:cut] for x in whole])
+            held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
         if held:
-            keys, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from links(keys, fp.view(np.uint64), rep)
+            yield from compare(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
+def _search(radius: int, by_nearest: bool):
+    """A function for mapInArrow over rows (key, fp, rep, side) in key order: links (a, b) between reps."""
+
+    def links(keys, fp, rep, side):
+        for i, j, d in close_pairs(keys, fp.view(np.uint64), radius, side):
+            if len(i):
+                a, b = nearest(i, j, d, rep) if by_nearest else forest(i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+
+    return by_whole_keys(links)
+
+
 def block_masks(radius: int, n: int) -> list[int]:
     """Masks of the block choices of which one is equal in any two fingerprints within ``radius``.
 
@@ -215,12 +262,8 @@ def candidate_links(classes: DataFrame, masks: list[int], radius: int, by_neares
     """Links (a, b) between classes (``rep``, ``fp``) that share a masked fingerprint and are within ``radius``."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-    dealt = (
-        classes.select(F.explode(keys).alias("key"), "fp", "rep")
-        .repartition(2 * wide(classes.sparkSession), "key")
-        .sortWithinPartitions("key")
-    )
-    return dealt.mapInArrow(_search(radius, by_nearest), "a long, b long")
+    keyed = classes.select(F.explode(keys).alias("key"), "fp", "rep")
+    return dealt(keyed, "rep").mapInArrow(_search(radius, by_nearest), "a long, b long")
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -254,14 +297,127 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, grams array<long>")
 
 
+def _counted_prints(docs: DataFrame, size: int) -> DataFrame:
+    """Rows ``rep, fp`` of every given text, and rows ``slot, n``: texts with a shingle in that slot, by task."""
+
+    def run(batches):
+        count = np.zeros(SLOTS, np.int64)
+        none = lambda n, kind: pa.nulls(n, kind)
+        for b in batches:
+            fp = np.zeros(b.num_rows, np.uint64)
+            for k, t in enumerate(b.column(1).to_pylist()):
+                hashes = shingle_hashes(t or "", size)
+                fp[k] = vote(hashes)
+                count += np.bincount((np.unique(hashes) % SLOTS).astype(np.int64), minlength=SLOTS)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), none(n, pa.int32()), none(n, pa.int64())], names=["rep", "fp", "slot", "n"])
+        slot = np.flatnonzero(count)
+        n = len(slot)
+        yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(slot.astype(np.int32)), pa.array(count[slot])], names=["rep", "fp", "slot", "n"])
+
+    return docs.mapInArrow(run, "rep long, fp long, slot int, n long")
+
+
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """The shingles that come first in the common order, and the size of the whole set.
+
+    The order is by count, rare ones first, then by hash.  Any order common to all texts
+    is right: sets with a Jaccard of ``threshold`` share one of their first.
+    """
+    own = np.unique(hashes)
+    n = len(own)
+    order = np.lexsort((own, counts[(own % SLOTS).astype(np.int64)]))
+    return own[order[: n - int(np.ceil(threshold * n - 1e-9)) + 1]] if n else own, n
+
+
+def _firsts(docs: DataFrame, size: int, counts: np.ndarray, threshold: float) -> DataFrame:
+    """``node``, its set's ``size`` and ``keys``, its first shingles in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for b in batches:
+            found = [first_shingles(shingle_hashes(t or "", size), shared.value, threshold) for t in b.column(1).to_pylist()]
+            keys = [k.view(np.int64) for k, _ in found]
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "size", "keys"])
+
+    return docs.mapInArrow(run, "node long, size long, keys array<long>")
+
+
+def unlinked_pairs(key, node, group, size, place, side, threshold: float):
+    """Yield arrays (i, j) of rows with equal keys and different groups that may reach ``threshold``.
+
+    Rows of the group that has most rows of a key are not compared with each other, so large
+    groups cost nothing.  Sizes must be in proportion, and as many shingles as needed must be
+    left from the places on.
+    """
+    big = np.int64(1) << 40
+    _, rank = np.unique(key, return_inverse=True)
+    order = np.lexsort((size, rank))
+    rank, group, size, place, side = rank[order].astype(np.int64), group[order], size[order], place[order], side[order]
+    by = np.lexsort((group, rank))
+    change = np.ones(len(by), bool)
+    change[1:] = (np.diff(rank[by]) != 0) | (np.diff(group[by]) != 0)
+    run = np.cumsum(change) - 1
+    length = np.bincount(run)
+    run_rank = rank[by][change]
+    largest = np.lexsort((length, run_rank))
+    last = np.ones(len(largest), bool)
+    last[:-1] = np.diff(run_rank[largest]) != 0
+    main = np.zeros(len(length), bool)
+    main[largest[last]] = True
+    major = np.zeros(len(by), bool)
+    major[by] = main[run]
+    axis = rank * big + size
+    minor = np.flatnonzero(~major)
+    start = np.searchsorted(axis, rank[minor] * big + np.ceil(threshold * size[minor] - 1e-9).astype(np.int64), "left")
+    room = np.searchsorted(axis, rank[minor] * big + np.floor(size[minor] / threshold + 1e-9).astype(np.int64), "right") - start
+    total = np.cumsum(room)
+    at = 0
+    while at < len(minor):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+        n = room[at:end]
+        i = np.repeat(minor[at:end], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at:end], n)
+        left = np.minimum(size[i] - place[i], size[j] - place[j])
+        fit = (group[i] != group[j]) & (major[j] | (i < j)) & ((side[i] == BOTH) | (side[i] != side[j]))
+        fit &= left >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9
+        yield order[i[fit]], order[j[fit]]
+        at = end
+
+
+def _unlinked(threshold: float):
+    def pairs(key, node, group, size, place, side):
+        for i, j in unlinked_pairs(key, node, group, size, place, side, threshold):
+            if len(i):
+                a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return by_whole_keys(pairs)
+
+
+def _verified(texts: DataFrame, links: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The links (a, b) whose whole shingle sets reach ``threshold``; ``texts`` has ``node`` and ``text``."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    grams = written(_shingle_sets(texts.join(nodes, "node", "left_semi"), size), "grams")
+    both = links.join(grams.withColumnRenamed("node", "a"), "a").withColumnRenamed("grams", "ga")
+    both = both.join(grams.withColumnRenamed("node", "b"), "b").withColumn("common", F.size(F.array_intersect("ga", "grams")))
+    union = F.size("ga") + F.size("grams") - F.col("common")
+    sure = written(both.where((F.col("common") >= threshold * union) | (union == 0)).select("a", "b"), "sure")
+    forget(grams)
+    return sure
+
+
 def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits: int = 4) -> DataFrame:
     """Per document: ``doc_id`` and ``component_id`` by links of texts whose shingle sets have a Jaccard of ``threshold``.
 
     The radius of the search is the expected distance at the threshold plus
     ``slack_bits``.  Of the survivors that share a key, each class is linked to its
     closest earlier one in every table, and these links are verified on the
-    whole shingle sets.  Classes of equal fingerprints whose texts differ are
-    compared like any others.
+    whole shingle sets.  Texts that this leaves in different groups are then brought together
+    by their first shingles and verified likewise, so no link between groups is lost.
+    Classes of equal fingerprints whose texts differ are compared like any others.
     """
     cosine = 2 * threshold / (1 + threshold)
     angle = float(np.arccos(cosine) / np.pi)
@@ -270,18 +426,26 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", content.alias("same"))
     members = written(keyed.select("doc_id", "same"), "members")
     firsts = members.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    unique = keyed.join(firsts, (keyed.doc_id == firsts.rep) & (keyed.same == firsts.same), "left_semi").dropDuplicates(["doc_id", "same"])
-    prints = written(fingerprints(unique, size), "prints").withColumnRenamed("doc_id", "rep")
+    unique = keyed.join(firsts, (keyed.doc_id == firsts.rep) & (keyed.same == firsts.same), "left_semi").dropDuplicates(["same"])
+    unique = written(unique.select(F.col("same").alias("node"), "text"), "texts")
+    counted = written(_counted_prints(unique, size), "prints")
+    prints = counted.where("rep is not null").select("rep", "fp")
     masks = sampled_masks(angle, prints.count())
     links = written(candidate_links(prints, masks, radius, True).distinct(), "links")
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = keyed.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    grams = written(_shingle_sets(texts, size), "grams")
-    both = links.join(grams.withColumnRenamed("node", "a"), "a").withColumnRenamed("grams", "ga")
-    both = both.join(grams.withColumnRenamed("node", "b"), "b").withColumn("common", F.size(F.array_intersect("ga", "grams")))
-    union = F.size("ga") + F.size("grams") - F.col("common")
-    sure = both.where((F.col("common") >= threshold * union) | (union == 0)).select("a", "b")
-    roots = components(sure)
-    forget(grams)
-    named = firsts.join(roots, firsts.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    sure = _verified(unique, links, size, threshold)
+    roots = written(components(sure), "roots")
+
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in counted.where("slot is not null").groupBy("slot").agg(F.sum("n")).collect():
+        counts[slot] = n
+    ahead = _firsts(unique, size, counts, threshold).join(roots, "node", "left")
+    ahead = ahead.select(F.posexplode("keys").alias("place", "key"), "node", F.coalesce("root", "node").alias("group"), "size")
+    ahead = written(ahead.select("key", "node", "group", "size", F.col("place").cast("long").alias("place")), "ahead")
+    shared = ahead.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key")
+    met = ahead.join(shared, "key", "left_semi")
+    rest = written(dealt(met, "node").mapInArrow(_unlinked(threshold), "a long, b long").distinct(), "rest")
+    roots = components(_verified(unique, rest, size, threshold).unionAll(sure))
+    named = firsts.join(roots, firsts.same == roots.node, "left").select("same", "rep", F.coalesce("root", "same").alias("group"))
+    lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = named.join(lowest, "group").select("same", "component_id")
     return members.join(named, "same", "left").select("doc_id", "component_id")

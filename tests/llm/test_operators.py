@@ -118,6 +118,41 @@ def test_similar_finds_jaccard_links(spark):
     assert simhash_pivots.similar(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [50_000, 3])
+def test_similar_loses_no_link(spark, monkeypatch, block):
+    """Short texts that differ in a few words: their fingerprints scatter, yet every link is found."""
+    monkeypatch.setattr(simhash_pivots, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(240):
+        if k % 3 == 0:
+            base = [f"w{x}" for x in rng.integers(0, 40, rng.integers(5, 60))]
+        words = list(base)
+        for _ in range(k % 3):
+            words[-1 - int(rng.integers(0, 3))] = f"new{k}"
+        rows.append((k, " ".join(words), "s"))
+    rows += [(240, None, "s"), (241, " ", "s"), (5, "another text of the fifth id", "s"), (None, rows[7][1], "s")]
+    sets = [set(zip(*[w[k:] for k in range(5)])) if len(w := (t or "").split()) >= 5 else {tuple(w)} for _, t, _ in rows]  # noqa: B905
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    lowest = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            lowest[find(k)] = min(i, lowest.get(find(k), i))
+    want = sorted((-1 if i is None else i, lowest[find(k)]) for k, (i, _, _) in enumerate(rows))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in simhash_pivots.similar(docs_of(spark, rows)).collect())
+    assert got == want
+
+
 # -- 2 toxicity ----------------------------------------------------------------------------------
 
 

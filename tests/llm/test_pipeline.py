@@ -3,7 +3,6 @@
 import zlib
 
 import numpy as np
-import pytest
 
 import corpus_pipeline
 from tessera.llm import toxicity_mil
@@ -49,7 +48,6 @@ def test_stages(spark):
     assert sorted(p.doc_id for p in whole) == sorted(r.doc_id for r in mixed.collect())
 
 
-@pytest.mark.xfail(reason="open: documents 1 and 177 have a Jaccard of 0.83 but differ in 17 bits, beyond the search radius of 14", strict=True)
 def test_no_similar_pair_is_left(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = dict(corpus_pipeline.one_of_each_group(spark, docs, SF).select("doc_id", "text").collect())
