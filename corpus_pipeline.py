@@ -21,10 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest ``doc_id``; rows without an id stay."""
+    """Of each group of near-duplicates the row with the smallest ``doc_id``; rows without an id stay.
+
+    Rows that share that id stay once for each different text.
+    """
     found = simhash_pivots.similar(docs)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return rows.unionAll(docs.where("doc_id is null")).select(*docs.columns)
 
 
