@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, forget, wide, written
+from .shared import components, wide, written
 
 #: Number of pivots, and the seed that their fingerprints come from.
 PIVOTS, PIVOT_SEED = 12, 20
@@ -56,7 +56,7 @@ CHUNK = 1_000_000
 #: Rows of a key that a task compares at once; a hot key is split into blocks of about as many.
 BLOCK = 50_000
 #: Counters of shingles, by the low bits of their hash: a fixed size, whatever the corpus.
-SLOTS = 1 << 17
+SLOTS = 1 << 15
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -163,30 +163,31 @@ def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each node the closest one of a smaller id, of equally close ones the smallest."""
+def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the closest one of a smaller id, of equally close ones the smallest, and its distance."""
     high, low = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
     order = np.lexsort((ids[low], d, high))
-    high, low = high[order], low[order]
+    high, low, d = high[order], low[order], d[order]
     first = np.ones(len(high), bool)
     first[1:] = high[1:] != high[:-1]
-    return high[first], low[first]
+    return high[first], low[first], d[first]
 
 
 #: Side of a row whose block meets itself, or whose key isn't split.
 BOTH = 2
 
 
-def dealt(keyed: DataFrame, node: str) -> DataFrame:
+def dealt(keyed: DataFrame, node: str, sure_cold: bool = False) -> DataFrame:
     """Rows by ``key`` in key order, with ``side``; those of a hot key once for each block that theirs meets.
 
     The group of two blocks gets a key of its own.  Should two groups' keys agree, their
-    rows are compared with each other too, which loses nothing.
+    rows are compared with each other too, which loses nothing.  ``sure_cold`` says that
+    a bound on the keys' rows is known which makes counting them needless.
     """
     spark = keyed.sparkSession
-    hot = written(keyed.groupBy("key").count().where(F.col("count") > BLOCK), "hot-keys")
+    hot = None if sure_cold else written(keyed.groupBy("key").count().where(F.col("count") > BLOCK), "hot-keys")
     names = keyed.columns
-    if hot.isEmpty():
+    if hot is None or hot.isEmpty():
         met = keyed.withColumn("side", F.lit(BOTH))
     else:
         hot = hot.select(F.col("key").alias("hk"), F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
@@ -225,13 +226,14 @@ def by_whole_keys(compare):
 
 
 def _search(radius: int, by_nearest: bool):
-    """A function for mapInArrow over rows (key, fp, rep, side) in key order: links (a, b) between reps."""
+    """A function for mapInArrow over rows (key, fp, rep, side) in key order: links (a, b, d) between reps."""
 
     def links(keys, fp, rep, side):
         for i, j, d in close_pairs(keys, fp.view(np.uint64), radius, side):
             if len(i):
-                a, b = nearest(i, j, d, rep) if by_nearest else forest(i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+                a, b, far = nearest(i, j, d, rep) if by_nearest else (*forest(i, j), None)
+                far = pa.nulls(len(a), pa.int32()) if far is None else pa.array(far.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), far], names=["a", "b", "d"])
 
     return by_whole_keys(links)
 
@@ -259,11 +261,14 @@ def sampled_masks(angle: float, n: int, miss: float = 0.02) -> list[int]:
 
 
 def candidate_links(classes: DataFrame, masks: list[int], radius: int, by_nearest: bool) -> DataFrame:
-    """Links (a, b) between classes (``rep``, ``fp``) that share a masked fingerprint and are within ``radius``."""
+    """Links (a, b) between classes (``rep``, ``fp``) that share a masked fingerprint and are within ``radius``.
+
+    By nearest, ``d`` is their distance.
+    """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
     keyed = classes.select(F.explode(keys).alias("key"), "fp", "rep")
-    return dealt(keyed, "rep").mapInArrow(_search(radius, by_nearest), "a long, b long")
+    return dealt(keyed, "rep").mapInArrow(_search(radius, by_nearest), "a long, b long, d int")
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -284,19 +289,6 @@ def linked(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node`` and the sorted set of shingle hashes of every given text."""
-
-    def run(batches):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t or "", size)).view(np.int64) for t in b.column(1).to_pylist()]
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "grams"])
-
-    return docs.mapInArrow(run, "node long, grams array<long>")
-
-
 def _counted_prints(docs: DataFrame, size: int) -> DataFrame:
     """Rows ``rep, fp`` of every given text, and rows ``slot, n``: texts with a shingle in that slot, by task."""
 
@@ -397,16 +389,28 @@ def _unlinked(threshold: float):
     return by_whole_keys(pairs)
 
 
+def _reaching(size: int, threshold: float):
+    """A function for mapInArrow over rows (a, b, text of a, text of b): the (a, b) whose shingle sets reach ``threshold``."""
+
+    def reach(x: str | None, y: str | None) -> bool:
+        u, v = (np.unique(shingle_hashes(t or "", size)) for t in (x, y))
+        common = len(u) + len(v) - len(np.union1d(u, v)) if min(len(u), len(v)) >= threshold * max(len(u), len(v)) else 0
+        return common >= threshold * (len(u) + len(v) - common)
+
+    def run(batches):
+        for b in batches:
+            on = [reach(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    return run
+
+
 def _verified(texts: DataFrame, links: DataFrame, size: int, threshold: float) -> DataFrame:
     """The links (a, b) whose whole shingle sets reach ``threshold``; ``texts`` has ``node`` and ``text``."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    grams = written(_shingle_sets(texts.join(nodes, "node", "left_semi"), size), "grams")
-    both = links.join(grams.withColumnRenamed("node", "a"), "a").withColumnRenamed("grams", "ga")
-    both = both.join(grams.withColumnRenamed("node", "b"), "b").withColumn("common", F.size(F.array_intersect("ga", "grams")))
-    union = F.size("ga") + F.size("grams") - F.col("common")
-    sure = written(both.where((F.col("common") >= threshold * union) | (union == 0)).select("a", "b"), "sure")
-    forget(grams)
-    return sure
+    left = links.join(texts.toDF("a", "ta"), "a")
+    right = texts.toDF("b", "tb").join(links.select("b").distinct(), "b", "left_semi")
+    both = left.join(right, "b").select("a", "b", "ta", "tb")
+    return written(both.mapInArrow(_reaching(size, threshold), "a long, b long"), "sure")
 
 
 def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits: int = 4) -> DataFrame:
@@ -414,7 +418,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
 
     The radius of the search is the expected distance at the threshold plus
     ``slack_bits``.  Of the survivors that share a key, each class is linked to its
-    closest earlier one in every table, and these links are verified on the
+    closest earlier one, and these links are verified on the
     whole shingle sets.  Texts that this leaves in different groups are then brought together
     by their first shingles and verified likewise, so no link between groups is lost.
     Classes of equal fingerprints whose texts differ are compared like any others.
@@ -431,19 +435,20 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     counted = written(_counted_prints(unique, size), "prints")
     prints = counted.where("rep is not null").select("rep", "fp")
     masks = sampled_masks(angle, prints.count())
-    links = written(candidate_links(prints, masks, radius, True).distinct(), "links")
+    links = candidate_links(prints, masks, radius, True).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    links = written(links.select("a", "m.b"), "links")
     sure = _verified(unique, links, size, threshold)
     roots = written(components(sure), "roots")
 
     counts = np.zeros(SLOTS, np.int64)
     for slot, n in counted.where("slot is not null").groupBy("slot").agg(F.sum("n")).collect():
         counts[slot] = n
+    # a key has at most as many rows as its slot counts texts
     ahead = _firsts(unique, size, counts, threshold).join(roots, "node", "left")
-    ahead = ahead.select(F.posexplode("keys").alias("place", "key"), "node", F.coalesce("root", "node").alias("group"), "size")
-    ahead = written(ahead.select("key", "node", "group", "size", F.col("place").cast("long").alias("place")), "ahead")
-    shared = ahead.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key")
-    met = ahead.join(shared, "key", "left_semi")
-    rest = written(dealt(met, "node").mapInArrow(_unlinked(threshold), "a long, b long").distinct(), "rest")
+    ahead = written(ahead.select("node", F.coalesce("root", "node").alias("group"), "size", "keys"), "ahead")
+    met = ahead.select("node", "group", "size", F.posexplode("keys").alias("place", "key"))
+    met = met.select("key", "node", "group", "size", F.col("place").cast("long").alias("place"))
+    rest = written(dealt(met, "node", bool(counts.max() <= BLOCK)).mapInArrow(_unlinked(threshold), "a long, b long").distinct(), "rest")
     roots = components(_verified(unique, rest, size, threshold).unionAll(sure))
     named = firsts.join(roots, firsts.same == roots.node, "left").select("same", "rep", F.coalesce("root", "same").alias("group"))
     lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
