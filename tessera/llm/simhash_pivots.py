@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, wide, written
+from .shared import components, forget, wide, written
 
 #: Number of pivots, and the seed that their fingerprints come from.
 PIVOTS, PIVOT_SEED = 12, 20
@@ -430,7 +430,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", content.alias("same"))
     members = written(keyed.select("doc_id", "same"), "members")
     firsts = members.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    unique = keyed.join(firsts, (keyed.doc_id == firsts.rep) & (keyed.same == firsts.same), "left_semi").dropDuplicates(["same"])
+    unique = keyed.join(firsts, (keyed.doc_id == firsts.rep) & (keyed.same == firsts.same), "left_semi").dropDuplicates(["doc_id", "same"])
     unique = written(unique.select(F.col("same").alias("node"), "text"), "texts")
     counted = written(_counted_prints(unique, size), "prints")
     prints = counted.where("rep is not null").select("rep", "fp")
@@ -449,7 +449,10 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     met = ahead.select("node", "group", "size", F.posexplode("keys").alias("place", "key"))
     met = met.select("key", "node", "group", "size", F.col("place").cast("long").alias("place"))
     rest = written(dealt(met, "node", bool(counts.max() <= BLOCK)).mapInArrow(_unlinked(threshold), "a long, b long").distinct(), "rest")
-    roots = components(_verified(unique, rest, size, threshold).unionAll(sure))
+    found = _verified(unique, rest, size, threshold)
+    roots = components(found.unionAll(sure))
+    for table in (unique, counted, links, ahead, rest, found, sure):  # what is returned reads none of these
+        forget(table)
     named = firsts.join(roots, firsts.same == roots.node, "left").select("same", "rep", F.coalesce("root", "same").alias("group"))
     lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "group").select("same", "component_id")
