@@ -55,7 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(TIDY)
     spark.conf.set(TIDY, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,6 +44,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,6 +290,23 @@ def linked(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """``node`` and its ``text`` compressed, as it is written and exchanged more than once; null counts as empty."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor().compress
+        for b in batches:
+            packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["node", "text"])
+
+    return texts.mapInArrow(run, "node long, text binary")
+
+
+def _hashes(packed: bytes, size: int) -> np.ndarray:
+    """``shingle_hashes`` of a compressed text."""
+    return shingle_hashes(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass"), size)
+
+
 def _counted_prints(docs: DataFrame, size: int) -> DataFrame:
     """Rows ``rep, fp`` of every given text, and rows ``slot, n``: texts with a shingle in that slot, by task."""
 
@@ -297,8 +315,8 @@ def _counted_prints(docs: DataFrame, size: int) -> DataFrame:
         none = lambda n, kind: pa.nulls(n, kind)
         for b in batches:
             fp = np.zeros(b.num_rows, np.uint64)
-            for k, t in enumerate(b.column(1).to_pylist()):
-                hashes = shingle_hashes(t or "", size)
+            for k, t in enumerate(b.column(1)):
+                hashes = _hashes(t.as_py(), size)
                 fp[k] = vote(hashes)
                 count += np.bincount((np.unique(hashes) % SLOTS).astype(np.int64), minlength=SLOTS)
             n = b.num_rows
@@ -328,7 +346,7 @@ def _firsts(docs: DataFrame, size: int, counts: np.ndarray, threshold: float) ->
 
     def run(batches):
         for b in batches:
-            found = [first_shingles(shingle_hashes(t or "", size), shared.value, threshold) for t in b.column(1).to_pylist()]
+            found = [first_shingles(_hashes(t.as_py(), size), shared.value, threshold) for t in b.column(1)]
             keys = [k.view(np.int64) for k, _ in found]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
@@ -392,8 +410,8 @@ def _unlinked(threshold: float):
 def _reaching(size: int, threshold: float):
     """A function for mapInArrow over rows (a, b, text of a, text of b): the (a, b) whose shingle sets reach ``threshold``."""
 
-    def reach(x: str | None, y: str | None) -> bool:
-        u, v = (np.unique(shingle_hashes(t or "", size)) for t in (x, y))
+    def reach(x: bytes, y: bytes) -> bool:
+        u, v = (np.unique(_hashes(t, size)) for t in (x, y))
         common = len(u) + len(v) - len(np.union1d(u, v)) if min(len(u), len(v)) >= threshold * max(len(u), len(v)) else 0
         return common >= threshold * (len(u) + len(v) - common)
 
@@ -413,6 +431,12 @@ def _verified(texts: DataFrame, links: DataFrame, size: int, threshold: float) -
     return written(both.mapInArrow(_reaching(size, threshold), "a long, b long"), "sure")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups, ``ga`` and ``gb``; a node without a root is its own group."""
+    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return both.withColumns({"ga": F.coalesce("ra", "a"), "gb": F.coalesce("rb", "b")}).where("ga <> gb")
+
+
 def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits: int = 4) -> DataFrame:
     """Per document: ``doc_id`` and ``component_id`` by links of texts whose shingle sets have a Jaccard of ``threshold``.
 
@@ -420,7 +444,8 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     ``slack_bits``.  Of the survivors that share a key, each class is linked to its
     closest earlier one, and these links are verified on the
     whole shingle sets.  Texts that this leaves in different groups are then brought together
-    by their first shingles and verified likewise, so no link between groups is lost.
+    by their first shingles and verified likewise: of any two groups first the pair that shares
+    most of them, then every pair whose groups are still apart, so no link between groups is lost.
     Classes of equal fingerprints whose texts differ are compared like any others.
     """
     cosine = 2 * threshold / (1 + threshold)
@@ -431,7 +456,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     members = written(keyed.select("doc_id", "same"), "members")
     firsts = members.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     unique = keyed.join(firsts, (keyed.doc_id == firsts.rep) & (keyed.same == firsts.same), "left_semi").dropDuplicates(["doc_id", "same"])
-    unique = written(unique.select(F.col("same").alias("node"), "text"), "texts")
+    unique = written(_packed(unique.select(F.col("same").alias("node"), "text")), "texts")
     counted = written(_counted_prints(unique, size), "prints")
     prints = counted.where("rep is not null").select("rep", "fp")
     masks = sampled_masks(angle, prints.count())
@@ -448,10 +473,17 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     ahead = written(ahead.select("node", F.coalesce("root", "node").alias("group"), "size", "keys"), "ahead")
     met = ahead.select("node", "group", "size", F.posexplode("keys").alias("place", "key"))
     met = met.select("key", "node", "group", "size", F.col("place").cast("long").alias("place"))
-    rest = written(dealt(met, "node", bool(counts.max() <= BLOCK)).mapInArrow(_unlinked(threshold), "a long, b long").distinct(), "rest")
-    found = _verified(unique, rest, size, threshold)
-    roots = components(found.unionAll(sure))
-    for table in (unique, counted, links, ahead, rest, found, sure):  # what is returned reads none of these
+    pairs = dealt(met, "node", bool(counts.max() <= BLOCK)).mapInArrow(_unlinked(threshold), "a long, b long")
+    rest = written(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "rest")
+    # of two groups first the pair that shares most: it joins most of them, and what is joined needs no other pair
+    best = _apart(rest, roots).groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(F.max(F.struct("shared", "a", "b")).alias("m"))
+    best = written(best.select("m.a", "m.b"), "best")
+    found = [sure, _verified(unique, best, size, threshold)]
+    roots = written(components(found[1].unionAll(roots.toDF("a", "b"))), "roots")
+    left = written(_apart(rest, roots).select("a", "b"), "left")
+    found.append(_verified(unique, left, size, threshold))
+    roots = components(found[2].unionAll(roots.toDF("a", "b")))
+    for table in (unique, counted, links, ahead, rest, best, left, *found):  # what is returned reads none of these
         forget(table)
     named = firsts.join(roots, firsts.same == roots.node, "left").select("same", "rep", F.coalesce("root", "same").alias("group"))
     lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
