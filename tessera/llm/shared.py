@@ -41,8 +41,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-#: Whether the shuffle files of a query go as it ends.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write to the shared folder: shuffle files go as it ends; bytes of a batch that a Python worker gets.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +52,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(TIDY)
-    spark.conf.set(TIDY, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

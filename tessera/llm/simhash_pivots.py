@@ -53,7 +53,7 @@ from .shared import components, forget, wide, written
 #: Number of pivots, and the seed that their fingerprints come from.
 PIVOTS, PIVOT_SEED = 12, 20
 #: Pairs that a task expands at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Rows of a key that a task compares at once; a hot key is split into blocks of about as many.
 BLOCK = 50_000
 #: Counters of shingles, by the low bits of their hash: a fixed size, whatever the corpus.
