@@ -1,12 +1,16 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A bounded sample of the vectors gives the mean, the principal axes and a rotation that
+A bounded sample of the vectors gives the mean, the principal axes and rotations that
 iterative quantisation learns, so that the signs of a vector's rotated
-coordinates are balanced bits.  Every vector gets such a binary code.  The code is
-cut into substrings, and one table for each choice of ``free`` substrings brings
-together the vectors that agree there.  Pairs in a bucket are reranked with the original vectors: a
+coordinates are balanced bits.  The bits of all rotations in a row are cut into keys of
+equal width, and one table for each key brings together the vectors that agree there.
+Pairs in a bucket are reranked with the original vectors: a
 cosine of ``threshold`` or more in double precision is a link.  The index may miss
-pairs (their codes differ in all substrings); it never adds one.
+pairs (they differ in all keys); it never adds one.
+
+Keys are wider for more vectors, so that buckets stay small, and then there are more of
+them: tables are added, or keys narrowed, until of made-up pairs whose cosine is just ``threshold``
+a share of ``MEET`` meets.  The chance to be found thus doesn't fall with the size of a table.
 
 Equal vectors are one class before anything is compared.  A bucket yields counts and
 a spanning forest, never its pairs; a pair that meets in several tables counts in the
@@ -22,8 +26,8 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import log2
+from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -35,55 +39,87 @@ from .simhash_pivots import forest
 
 #: Vectors that the rotation is learned from at most, and rounds of learning.
 SAMPLE, ROUNDS = 4096, 40
-#: Bits of a code at most, and substrings that it is cut into.
-BITS, CUTS = 64, 8
+#: Bits of a rotation at most, bits of a key at least (unless too few pairs meet) and at most, tables at most.
+BITS, NARROW, WIDE, TABLES = 64, 8, 30, 256
+#: Share of the pairs at the threshold that has to meet in a table, and made-up pairs that measure it.
+MEET, PAIRS = 0.95, 2048
 #: Classes of a bucket that a task compares at once.
 BLOCK = 2048
 
 
-def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits): principal axes times the learned rotation."""
-    mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
-    centred = sample - mean
+@dataclass(frozen=True)
+class Index:
+    """Mean, projection (dimensions x bits), bits of a key and number of tables."""
+
+    mean: np.ndarray
+    projection: np.ndarray
+    width: int
+    tables: int
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """Keys of unit vectors, a column for each table."""
+        on = (x - self.mean) @ self.projection[:, : self.width * self.tables] >= 0
+        return on.reshape(len(x), self.tables, self.width) @ (1 << np.arange(self.width, dtype=np.int32))
+
+
+def key_width(n: int) -> int:
+    """Bits of a key for ``n`` vectors, so that buckets hold about a thousand at most."""
+    return min(WIDE, max(NARROW, ceil(log2(max(n, 2))) - 10))
+
+
+def threshold_pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is ``threshold``: towards other vectors of the sample, and in any direction."""
+    rng = np.random.default_rng(13)
+    x = sample[np.arange(PAIRS) % len(sample)]
+    out = []
+    for to in (sample[rng.integers(0, len(sample), PAIRS)], rng.normal(size=x.shape)):
+        to = to - (to * x).sum(1, keepdims=True) * x
+        long = np.linalg.norm(to, axis=1)
+        on = long > 1e-6
+        y = threshold * x[on] + np.sqrt(max(0.0, 1 - threshold**2)) * to[on] / long[on, None]
+        if len(y):
+            out.append((x[on], y))
+    return out
+
+
+def learn(sample: np.ndarray, n: int, threshold: float) -> Index:
+    """The index for ``n`` unit vectors: principal axes times learned rotations, as many as needed for ``MEET``."""
+    mean = sample.mean(0)
     bits = min(BITS, sample.shape[1])
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
+    _, _, axes = np.linalg.svd(sample - mean, full_matrices=True)
     axes = axes[:bits].T
-    v = centred @ axes
-    rotation, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(bits, bits)))
-    for _ in range(ROUNDS):
-        b = np.where(v @ rotation >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(b.T @ v)
-        rotation = (left @ right).T
-    return mean, axes @ rotation
-
-
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Binary codes of unit vectors as unsigned 64-bit."""
-    on = ((x - mean) @ projection >= 0).astype(np.uint8)
-    full = np.zeros((len(x), 64), np.uint8)
-    full[:, : on.shape[1]] = on
-    return np.packbits(full, axis=1).view(">u8").astype(np.uint64).ravel()
-
-
-def table_masks(bits: int, n: int) -> list[int]:
-    """Masks of the tables: every choice of ``free`` substrings, more of them for more vectors."""
-    cuts = [bits * k // CUTS for k in range(CUTS + 1)]
-    parts = [sum(1 << (63 - p) for p in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    parts = [p for p in parts if p]
-    free = 1
-    while free < min(3, len(parts)) and log2(max(n, 2)) - free * bits / CUTS > 10:
-        free += 1
-    return [sum(c) for c in combinations(parts, free)]
+    v = (sample - mean) @ axes
+    rng = np.random.default_rng(7)
+    parts: list[np.ndarray] = []
+    pairs = threshold_pairs(sample, threshold)
+    agree = [np.zeros((len(x), 0), bool) for x, _ in pairs]
+    for width in range(key_width(n), 0, -1):
+        apart = [np.ones(len(x), bool) for x, _ in pairs]
+        for table in range(TABLES):
+            while len(parts) * bits < width * (table + 1):
+                rotation, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
+                for _ in range(ROUNDS):
+                    b = np.where(v @ rotation >= 0, 1.0, -1.0)
+                    left, _, right = np.linalg.svd(b.T @ v)
+                    rotation = (left @ right).T
+                parts.append(axes @ rotation)
+                same = [((x - mean) @ parts[-1] >= 0) == ((y - mean) @ parts[-1] >= 0) for x, y in pairs]
+                agree = [np.concatenate(z, axis=1) for z in zip(agree, same, strict=True)]
+            apart = [a & ~g[:, width * table : width * (table + 1)].all(1) for a, g in zip(apart, agree, strict=True)]
+            if all(a.mean() <= 1 - MEET for a in apart):
+                return Index(mean, np.concatenate(parts, axis=1), width, table + 1)
+    # so few meet by any key that all are compared with all
+    return Index(mean, np.zeros((len(mean), 0)), 0, 1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), dim)
 
 
-def _bucket(table: int, masks: np.ndarray, threshold: float, a, b):
+def _bucket(table: int, threshold: float, a, b):
     """Counts and links of a bucket: each row of ``a`` with the rows of ``b`` (None: with later rows of ``a``)."""
-    rep, code, weight, x = a
-    rep2, code2, weight2, x2 = a if b is None else b
+    rep, keys, weight, x = a
+    rep2, keys2, weight2, x2 = a if b is None else b
     n = np.zeros(len(rep))
     n2 = n if b is None else np.zeros(len(rep2))
     links: list[tuple[np.ndarray, np.ndarray]] = []
@@ -94,10 +130,9 @@ def _bucket(table: int, masks: np.ndarray, threshold: float, a, b):
             near &= np.arange(len(rep2))[None, :] > np.arange(at, end)[:, None]
         i, j = np.nonzero(near)
         i += at
-        differ = code[i] ^ code2[j]
         first = np.ones(len(i), bool)
-        for m in masks[:table]:
-            first &= (differ & m) != 0
+        for t in range(table):
+            first &= keys[i, t] != keys2[j, t]
         i, j = i[first], j[first]
         if len(i):
             n += np.bincount(i, weight2[j], minlength=len(n))
@@ -109,14 +144,13 @@ def _bucket(table: int, masks: np.ndarray, threshold: float, a, b):
     return counts, links
 
 
-def _compare(masks: list[int], threshold: float, dim: int):
-    own = np.array(masks, np.uint64)
+def _compare(threshold: float, dim: int, tables: int):
     names = ["a", "b", "n"]
 
     def out(table, groups):
         sides = [g for g in (0, 1) if g in groups]
         a = groups[sides[0]]
-        counts, links = _bucket(table, own, threshold, a, groups[1] if len(sides) == 2 else None)
+        counts, links = _bucket(table, threshold, a, groups[1] if len(sides) == 2 else None)
         for rep, n in counts:
             on = n > 0
             if on.any():
@@ -139,7 +173,8 @@ def _compare(masks: list[int], threshold: float, dim: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table, key, pair, side, rep, code, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            table, key, pair, side, rep, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            keys = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(rep), tables)
             x = _matrix(batch.column(7), dim)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             change = np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0) | (np.diff(pair) != 0)) + 1
@@ -149,7 +184,7 @@ def _compare(masks: list[int], threshold: float, dim: int):
                     yield from flush()
                     held = []
                 last = now
-                held.append((side[s:e], rep[s:e], code[s:e].view(np.uint64), weight[s:e], x[s:e]))
+                held.append((side[s:e], rep[s:e], keys[s:e], weight[s:e], x[s:e]))
         if held:
             yield from flush()
 
@@ -172,36 +207,31 @@ def linked(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) ->
     rows = rows.select("vec_id", F.when(F.col("good"), scaled).alias("e"))
     rows = rows.withColumns({"h1": F.xxhash64("e"), "h2": F.hash("e")})
     classes = rows.where("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("e").alias("e"))
-    n = 0
-    if dim:
-        picked = classes.orderBy(F.xxhash64("rep", "h1"), "rep").limit(sample).select("e").collect()
-        x = np.array([r.e for r in picked], float).reshape(len(picked), dim)
-        mean, projection = learn(x / np.linalg.norm(x, axis=1, keepdims=True))
-        shared = spark.sparkContext.broadcast((mean, projection))
-
-        def encode(batches):
-            for b in batches:
-                v = _matrix(b.column(4), dim)
-                c = codes(v / np.linalg.norm(v, axis=1, keepdims=True), *shared.value)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.view(np.int64))], names=[*b.schema.names, "code"])
-
-        classes = classes.mapInArrow(encode, "h1 long, h2 int, rep long, w long, e array<double>, code long")
-        classes = written(classes, "codes")
-        n = classes.count()
-    if not n:
+    if not dim:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    masks = table_masks(min(BITS, dim), n)
-    tables = [F.struct(F.lit(t).alias("table"), F.col("code").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks)]
-    keyed = classes.select("h1", "h2", "rep", "code", "w", F.explode(F.array(*tables)).alias("k")).select("h1", "h2", "rep", "code", "w", "k.table", "k.key")
+    picked = classes.orderBy(F.xxhash64("rep", "h1"), "rep").limit(sample).select("e").collect()
+    x = np.array([r.e for r in picked], float).reshape(len(picked), dim)
+    index = learn(x / np.linalg.norm(x, axis=1, keepdims=True), dims[0]["count"], threshold)
+    shared = spark.sparkContext.broadcast(index)
+
+    def encode(batches):
+        for b in batches:
+            v = _matrix(b.column(4), dim)
+            keys = shared.value.keys(v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int32)
+            ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=[*b.schema.names, "keys"])
+
+    classes = written(classes.mapInArrow(encode, "h1 long, h2 int, rep long, w long, e array<double>, keys array<int>"), "codes")
+    keyed = classes.select("h1", "h2", F.posexplode("keys").alias("table", "key"))
     full = keyed.groupBy("table", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("long"))
     mine = F.pmod(F.xxhash64("h1", "h2"), "blocks")
     other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     # block pairs (low, high) that a row's block takes part in; side 0 is the low one
     pairs = F.transform(other, lambda o: F.struct((F.least(o, "mine") * (1 << 32) + F.greatest(o, "mine")).alias("pair"), F.when(o >= F.col("mine"), 0).otherwise(1).alias("side")))
-    met = keyed.join(full, ["table", "key"]).withColumn("mine", mine).select("table", "key", "h1", "h2", "rep", "code", "w", F.explode(pairs).alias("p"))
-    met = met.select("table", "key", "p.pair", "p.side", "h1", "h2", "rep", "code", "w").join(classes.select("h1", "h2", "e"), ["h1", "h2"])
-    met = met.select("table", "key", "pair", "side", "rep", "code", "w", "e").repartition(2 * wide(spark), "table", "key", "pair").sortWithinPartitions("table", "key", "pair", "side")
-    found = written(met.mapInArrow(_compare(masks, threshold, dim), "a long, b long, n long"), "links")
+    met = keyed.join(full, ["table", "key"]).withColumn("mine", mine).select("table", "key", "h1", "h2", F.explode(pairs).alias("p"))
+    met = met.select("table", "key", "p.pair", "p.side", "h1", "h2").join(classes.select("h1", "h2", "rep", "w", "keys", "e"), ["h1", "h2"])
+    met = met.select("table", "key", "pair", "side", "rep", "w", "keys", "e").repartition(2 * wide(spark), "table", "key", "pair").sortWithinPartitions("table", "key", "pair", "side")
+    found = written(met.mapInArrow(_compare(threshold, dim, index.tables), "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "ca")
     roots = components(found.where("n = 0").select("a", "b"))
     named = classes.select("h1", "h2", "rep", "w").join(counts, F.col("rep") == F.col("ca"), "left").join(roots, F.col("rep") == F.col("node"), "left")

@@ -220,6 +220,20 @@ def test_embeddings_split_buckets(spark, monkeypatch):
     assert sum(r.n_links for r in whole_buckets) >= 0.9 * 9900 and all(r.component_id == 0 for r in whole_buckets)
 
 
+@pytest.mark.parametrize("n", [1 << 10, 1 << 20, 1 << 27])
+@pytest.mark.parametrize("offset", [0.0, 0.5])
+def test_embedding_index_meets_near_the_threshold_at_any_size(n, offset):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 64)) + offset)
+    to = rng.normal(size=x.shape)
+    to = unit(to - (to * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.90, 0.92, (3000, 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * to
+    index = embedding_itq.learn(x[:1500], n, 0.9)
+    assert (index.keys(x) == index.keys(y)).any(1).mean() >= 0.93
+
+
 # -- 4 mixing ------------------------------------------------------------------------------------
 
 
