@@ -1,9 +1,9 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
 Patterns of the fixed base kinds give spans that always stay.  High-recall generators propose
-further, overlapping spans: long tokens, values after a word such as ``password``, and numbers with
-separators.  Boosted trees look at each candidate's format and at the characters
-before it; the trees were grown on a labelled table that ``examples`` builds from a rule, and the
+further, overlapping spans: long tokens, values (quoted or not) after a word such as ``password``, numbers with
+separators, and codes in groups.  Boosted trees score every candidate by its format and the characters
+before it; selected candidates that overlap are one span, of the kind that scored highest.  The trees were grown on a labelled table that ``examples`` builds from a rule, and the
 threshold that selects redactions was calibrated on the half of it that they did not
 see.  The trees reach the executors as expressions, so the texts never leave the JVM.
 
@@ -35,14 +35,29 @@ BASE = {
 }
 #: Kinds that the method adds, in their order behind the base kinds.
 ADDED = ("secret", "id")
-#: Generators of candidates: long tokens, separated numbers and codes.
-TOKEN = r"(?:\G|(?<![A-Za-z0-9_/+-]))[A-Za-z0-9_/+-]{9,}+={0,2}"
 #: Characters before a candidate that its context features see.
-CONTEXT = 24
+CONTEXT = 32
 #: Words before a value that make it a secret or an identifier.
-SECRET_WORDS = r"(?i)(?:token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|bearer|credential)s?[\"'\s]*[=:]?[\"'\s]*$"
-ID_WORDS = r"(?i)(?:ssn|social security|passport|iban|account|tax id|national id|driver)(?: (?:no|number|nr))?[.\"'\s:#=]*$"
+SECRET = r"(?:token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|bearer|credential)s?"
+ID = r"(?:ssn|social security|passport|iban|account|tax id|national id|driver)(?: (?:no|number|nr))?"
+SECRET_WORDS = rf"(?i){SECRET}[\"'\s]{{0,3}}[=:]?[\"'\s]{{0,3}}$"
+ID_WORDS = rf"(?i){ID}[.\"'\s:#=]{{0,4}}$"
+#: Generators of candidates: long tokens; values after words, bare and quoted; separated numbers; codes in groups.
+TOKEN = r"(?:\G|(?<![A-Za-z0-9_/+-]))[A-Za-z0-9_/+-]{9,}+={0,2}"
+_BARE = r"[^\s\"'=:#<>,;.)\]](?:[^\s\"'<>,;]*[^\s\"'<>,;.:)\]])?"
+GENERATORS = {
+    "token": TOKEN,
+    "secret_value": rf"(?<=[\s\"'=:])(?<=(?i:{SECRET})[\"'\s]{{0,3}}[=:]?[\"'\s]{{0,3}}){_BARE}",
+    "id_value": rf"(?<=[.\"'\s:#=])(?<=(?i:{ID})[.\"'\s:#=]{{0,4}}){_BARE}",
+    "quoted": rf"(?<=\")(?<=(?i:{SECRET})[\"']?\s{{0,2}}[=:]\s{{0,2}}\")[^\"\n]++(?=\")|(?<=')(?<=(?i:{SECRET})[\"']?\s{{0,2}}[=:]\s{{0,2}}')[^'\n]++(?=')",
+    "number": r"(?<![A-Za-z0-9])[0-9]++(?:[\x20./-][0-9]++)++(?![A-Za-z0-9])",
+    "triple": r"(?<![A-Za-z0-9])[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}(?![A-Za-z0-9])",
+    "groups": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}(?:[\x20-]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+}
+#: What a text must hold for a generator to find anything in it.
+NEEDED = {"secret_value": f"(?i){SECRET}", "quoted": f"(?i){SECRET}", "id_value": f"(?i){ID}", "number": "[0-9]", "triple": "[0-9]", "groups": "[0-9]"}
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,text:string>>"
+CANDIDATES = "array<struct<start:int,end:int,text:string,before:string>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -69,6 +84,27 @@ def matches(text: Column, pattern: str, kind: str, number: int) -> Column:
     return place(pairs)
 
 
+def candidates(text: Column, pattern: str) -> Column:
+    """All matches of a generator with their places and the characters before them."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(CANDIDATES).alias("spans"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["hit"])
+
+        def with_before(before: Column) -> Column:
+            one = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"), before.alias("before"))
+            tail = F.substring(F.concat(before, pair["hit"]), -CONTEXT, CONTEXT)
+            return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+
+        return _let(F.substring(F.concat(acc["tail"], pair["gap"]), -CONTEXT, CONTEXT), with_before)
+
+    pairs = _let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))))
+    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+
+
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -118,10 +154,12 @@ def base_spans(text: Column) -> Column:
 
 
 #: Features of a candidate, in the order of the trees' feature numbers.
-FEATURES = ("length", "digit_share", "upper_share", "lower_share", "mark_share", "variety", "hex", "known_form", "number_form", "after_secret_word", "after_id_word")
+FEATURES = ("length", "digit_share", "upper_share", "lower_share", "mark_share", "variety", "hex", "known_form", "number_form", "after_secret_word", "after_id_word", "distinct", "space_share", "assigned")
 #: Forms that stand for themselves: access key ids and the like; number forms of identity codes.
 KNOWN_FORM = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk[_-][A-Za-z0-9_-]{16,}$|^eyJ[A-Za-z0-9_-]{10,}$"
-NUMBER_FORM = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"
+NUMBER_FORM = r"^[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}$|^[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}$"
+#: A value that is assigned to what stands before it, and characters whose variety is counted at once.
+ASSIGNED, CHUNK = r"[=:][\"'\s]*$", 1 << 20
 
 
 def features_of(text: str, before: str) -> list[float]:
@@ -132,6 +170,7 @@ def features_of(text: str, before: str) -> list[float]:
         float(n), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^A-Za-z0-9]"), len(set(text)) / n,
         float(bool(re.search("^[0-9a-f]+$|^[0-9A-F]+$", text))), float(bool(re.search(KNOWN_FORM, text))), float(bool(re.search(NUMBER_FORM, text))),
         float(bool(re.search(SECRET_WORDS, before))), float(bool(re.search(ID_WORDS, before))),
+        float(len(set(text))), share(" "), float(bool(re.search(ASSIGNED, before))),
     ]
 
 
@@ -139,11 +178,14 @@ def feature_columns(text: Column, before: Column) -> list[Column]:
     n = F.length(text)
     share = lambda p: F.length(F.regexp_replace(text, p, "")) / n
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    pieces = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+    letters = lambda k: F.array_distinct(F.regexp_extract_all(F.substring(text, k * CHUNK + 1, F.lit(CHUNK)), F.lit("(?s)."), F.lit(0)))
+    distinct = F.size(F.array_distinct(F.flatten(F.transform(pieces, letters))))
     return [
         n.cast("double"), share("[^0-9]"), share("[^A-Z]"), share("[^a-z]"), share("[A-Za-z0-9]"),
-        F.size(F.array_distinct(F.regexp_extract_all(text, F.lit("."), F.lit(0)))) / n,
+        distinct / n,
         flag(text.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), flag(text.rlike(KNOWN_FORM)), flag(text.rlike(NUMBER_FORM)),
-        flag(before.rlike(SECRET_WORDS)), flag(before.rlike(ID_WORDS)),
+        flag(before.rlike(SECRET_WORDS)), flag(before.rlike(ID_WORDS)), distinct.cast("double"), share("[^ ]"), flag(before.rlike(ASSIGNED)),
     ]
 
 
@@ -179,9 +221,42 @@ def examples(seed: int = 3) -> list[tuple[list[float], int]]:
             (word() + pick(dig, 2) + word(), plain, 0),
             (word() + "_" + word() + pick(dig, 1), plain, 0),
             (word() + word() + word(), secret.replace("=", "").replace(":", ""), 0),
+            # values after words: short, with marks, quoted
+            (pick(low + up, rng.randint(2, 6)) + pick(dig, rng.randint(1, 3)), secret, 1),
+            (word() + pick(dig, rng.randint(1, 4)) + pick("!@#$%&*.", 1), secret, 1),
+            (pick(low + up, rng.randint(3, 8)) + pick("!@#$%&*.?", rng.randint(1, 3)) + pick(low + up + dig, rng.randint(2, 12)), secret, 1),
+            (pick(low + up, 4) + pick(" ,;", 1) + pick(low + up + dig, rng.randint(4, 9)) + pick(dig, 2), secret.rstrip("\"'") + '"', 1),
+            # numbers and codes in groups
+            (f"{pick(dig, 3)} {pick(dig, 2)} {pick(dig, 4)}", ident, 1),
+            (pick(up, 2) + pick(dig, 2) + "".join(" " + pick(rng.choice([up, dig, dig, dig]), 4) for _ in range(rng.randint(3, 6))) + " " + pick(dig, 2), rng.choice([ident, plain]), 1),
+            (pick(up, rng.randint(0, 2)) + pick(dig, rng.randint(6, 12)), ident, 1),
+            ("-".join(pick(dig, rng.randint(2, 4)) for _ in range(3)), ident, 1),
+            # keys on one line
+            (pick(low + up + dig + "/+", rng.randint(600, 3000)), rng.choice([secret, plain]), 1),
+            (pick("0123456789abcdef", rng.randint(128, 2048)), rng.choice([secret, plain]), 1),
+            # and what isn't any of these
+            (word(), rng.choice([secret, ident]), 0),
+            (word(), rng.choice([" the password ", " a secret ", " access token ", " an account "]), 0),
+            (word() + "-" + word(), rng.choice([" the password ", " a secret ", " access token ", " an account "]), 0),
+            (word() + "()", " token = ", 0),
+            (word() + " " + word() + " " + word() + " " + word(), secret.rstrip("\"'") + '"', 0),
+            (pick(dig, rng.randint(1, 2)), secret, 0),
+            (" ".join(pick(dig, rng.randint(1, 4)) for _ in range(rng.randint(2, 9))), plain, 0),
+            (f"{pick(dig, 1)}.{pick(dig, rng.randint(1, 3))}", rng.choice([plain, " account ", secret]), 0),
+            (f"{pick(dig, 2)}/{pick(dig, 2)}/{pick(dig, 4)}", plain, 0),
+            (f"{pick(dig, 3)}-{pick(dig, 4)}", plain, 0),
+            (pick("-=_/+", 1) * rng.randint(300, 3000), plain, 0),
+            (pick(low + up, 1) * rng.randint(100, 3000), plain, 0),
+            (pick(dig, rng.randint(20, 1000)), plain, 0),
+            ("/".join(word() for _ in range(rng.randint(20, 200))), plain, 0),
+            ("".join(word() for _ in range(rng.randint(10, 300))), plain, 0),
+            (word().upper() + "_" + word().upper(), plain, 0),
+            (word().upper() + word().upper(), plain, 0),
+            (word().capitalize() + word().capitalize() + word().capitalize(), plain, 0),
+            (word() + "-" + word() + "-" + word() + "-" + word(), plain, 0),
         ]
     rng.shuffle(rows)  # so that either half has all kinds
-    return [(features_of(t, b), y) for t, b, y in rows if len(t) >= 9]
+    return [(features_of(t, b), y) for t, b, y in rows]
 
 
 def _best_split(rows, residual, index, least: int = 5):
@@ -263,24 +338,39 @@ def score_column(values: Column) -> Column:
 
 
 def added_spans(text: Column, base: Column) -> Column:
-    """Spans that the trees select among the candidates and that no base span overlaps."""
+    """Spans that the trees select among all candidates and that no base span overlaps; those that overlap are joined."""
     threshold = boosted()[1]
-    tokens = matches(text, TOKEN, "secret", len(BASE))
+    some = []
+    for name, pattern in GENERATORS.items():
+        own = candidates(text, pattern)
+        some.append(F.when(text.rlike(NEEDED[name]), own).otherwise(F.array().cast(CANDIDATES)) if name in NEEDED else own)
 
-    def chosen(s: Column) -> Column:
-        low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, low + 1, s["start"] - low)
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return (F.length(s["text"]) <= 512) & free & (score_column(F.array(*feature_columns(s["text"], before))) >= threshold)
+    def scored(s: Column) -> Column:
+        score = _let(F.array(*feature_columns(s["text"], s["before"])), score_column)
+        ident = s["text"].rlike(NUMBER_FORM) | s["before"].rlike(ID_WORDS)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), score.alias("score"), ident.alias("ident"))
+
+    def free(s: Column) -> Column:
+        return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    each = F.array_distinct(F.filter(F.concat(*some), free))
+    chosen = F.array_sort(F.filter(F.transform(each, scored), lambda s: s["score"] >= threshold))
+    zero = F.array().cast("array<struct<start:int,end:int,score:double,ident:boolean>>")
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        ident = F.when(s["score"] > last["score"], s["ident"]).otherwise(last["ident"])
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.greatest(last["score"], s["score"]).alias("score"), ident.alias("ident"))
+        meets = (F.size(acc) > 0) & (s["start"] < last["end"])
+        return F.when(meets, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(s)))
 
     def named(s: Column) -> Column:
-        ident = s["text"].rlike(NUMBER_FORM)
-        kind = F.when(ident, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
-        number = F.when(ident, F.lit(len(BASE) + 1)).otherwise(F.lit(len(BASE)))
-        return F.struct(s["start"].alias("start"), number.alias("kind_no"), s["end"].alias("end"), kind.alias("kind"), s["text"].alias("text"))
+        kind = F.when(s["ident"], F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
+        number = F.when(s["ident"], F.lit(len(BASE) + 1)).otherwise(F.lit(len(BASE)))
+        own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        return F.struct(s["start"].alias("start"), number.alias("kind_no"), s["end"].alias("end"), kind.alias("kind"), own.alias("text"))
 
-    worth = F.filter(tokens, lambda s: s["text"].rlike("[0-9]") | s["text"].rlike("[a-z][A-Z].*[a-z][A-Z]"))
-    return F.when(text.rlike("[0-9]"), F.transform(F.filter(worth, chosen), named)).otherwise(F.array().cast(SPAN))
+    return F.transform(F.aggregate(chosen, zero, step), named)
 
 
 def _joined(spans: Column) -> Column:

@@ -470,6 +470,26 @@ def test_pii_trees_agree_with_expressions_and_generalise(spark):
     assert np.allclose(row.f, pii_boost.features_of(text, before)) and abs(row.s - score(row.f)) < 1e-9
 
 
+def test_pii_values_groups_and_long_keys(spark):
+    rng = np.random.default_rng(9)
+    key = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"[k] for k in rng.integers(0, 64, 1600))
+    letters = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[k] for k in rng.integers(0, 52, 40))
+    rows = [
+        ("the password: hu7Ter", ["hu7Ter"]),
+        ("password=S3c!ret@x#9 and so on", ["S3c!ret@x#9"]),
+        ("In 2020 SSN 123 45 6789, he said", ["123 45 6789"]),
+        ("IBAN GB29 NWBK 6016 1331 9268 19", ["GB29 NWBK 6016 1331 9268 19"]),
+        (f"key {key} end", [key]),
+        (f"token: {letters}", [letters]),
+        ("the password is required to access an international organisation, see pages 12 13 14", []),
+    ]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in rows)), "doc_id long, text string")
+    for r in pii_boost.found(df).collect():
+        text, want = rows[r.doc_id]
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert [text[int(a) : int(b)] for kind, a, b in spans if kind in pii_boost.ADDED] == want, text
+
+
 def test_pii_redaction(spark):
     docs = spark.createDataFrame([(1, "mail me.x@y.org, ip 1.2.3.4.", 0), (2, None, 5), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii_boost.redacted(docs).collect()}
