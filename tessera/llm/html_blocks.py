@@ -45,7 +45,15 @@ FURNITURE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z))", re.S)
+#: A tag's marks: by words that only describe a layout, by other words, and by what nothing inside takes back.
+LAYOUT, WORDED, LASTING = 1, 2, 3
+LAYOUT_WORDS = frozenset("ad ads header menu nav navbar share sharing sidebar social toolbar widget".split())
+#: Words for texts beside the article, whatever elements they use, and words of an article's own header.
+OTHERS = frozenset("comment comments disqus related replies reply respond".split())
+HEADED = frozenset("article entry post story".split())
+
+# a quote is one only directly after "=" and if it is closed
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(>|\Z))", re.S)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v \u0085  -     　]+")
 _PART = re.compile(r"[a-z]+")
@@ -67,10 +75,28 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _purpose(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is page furniture, an article's, and whether it is not shown."""
-    furniture = tag in FURNITURE or tag == "header" and not in_content
-    content, unseen = tag in CONTENT, False
+def _mark(tag: str, value: str, in_content: bool) -> int:
+    """How strongly the words of an attribute mark an element as page furniture."""
+    mark = 0
+    tokens = value.split()
+    for token in tokens:
+        parts = set(_PART.findall(token))
+        found = parts & FURNITURE_WORDS
+        if found == {"header"} and (in_content or parts & HEADED):
+            continue  # an article's own header
+        if not found or tag in CONTENT and token not in FURNITURE_WORDS:
+            continue
+        if found & OTHERS:
+            mark = max(mark, LASTING)
+        else:
+            mark = max(mark, LAYOUT if token not in FURNITURE_WORDS and found <= LAYOUT_WORDS else WORDED)
+    return mark
+
+
+def _purpose(tag: str, attributes: str, in_content: bool) -> tuple[int, bool, bool]:
+    """How strongly an element is marked as page furniture, whether it is an article's, and whether it is not shown."""
+    mark = LASTING if tag in FURNITURE else 0
+    content, unseen, headed = tag in CONTENT, False, in_content
     if attributes:
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -81,18 +107,22 @@ def _purpose(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, b
             elif name == "aria-hidden":
                 unseen |= value == "true"
             elif tag not in ("html", "body"):
+                own = _mark(tag, value, in_content)
                 parts = set(_PART.findall(value))
-                furniture |= bool(parts & FURNITURE_WORDS)
-                content |= bool(parts & CONTENT_WORDS) and not parts & FURNITURE_WORDS
-    return furniture, content, unseen
+                mark = max(mark, own)
+                content |= bool(parts & CONTENT_WORDS) and not own
+                headed |= "header" in parts and bool(parts & HEADED) and not own
+    if tag == "header" and not headed:
+        mark = LASTING
+    return mark, content, unseen
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []  # text, in a link
-    # open elements: tag, furniture, content, opaque, link
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    # open elements: tag, mark as furniture, content, opaque, link
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     heading = False
 
     def end_block() -> None:
@@ -102,7 +132,7 @@ def blocks(page: str) -> list[Block]:
                 linked = sum(len(p.split()) for p, on in parts if on)
                 words = text.count(" ") + 1
                 top = stack[-1]
-                out.append(Block(text, words, min(linked, words), top[1], top[2], heading))
+                out.append(Block(text, words, min(linked, words), top[1] > 0, top[2], heading))
             parts.clear()
 
     def take(raw: str) -> None:
@@ -144,8 +174,11 @@ def blocks(page: str) -> list[Block]:
             while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option")):
                 stack.pop()
         top = stack[-1]
-        furniture, content, unseen = _purpose(tag, m[3], top[2])
-        stack.append((tag, top[1] or furniture, top[2] or content, top[3] or unseen or tag in OPAQUE, top[4] or tag == "a"))
+        mark, content, unseen = _purpose(tag, m[3], top[2])
+        # an article takes back what outer words say, its words what an outer layout says
+        taken = WORDED if tag in CONTENT else LAYOUT if content else 0
+        outer = top[1] if top[1] > taken else 0
+        stack.append((tag, max(outer, mark), top[2] or content, top[3] or unseen or tag in OPAQUE, top[4] or tag == "a"))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             stack.pop()

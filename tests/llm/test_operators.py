@@ -407,6 +407,21 @@ def test_html_parts():
     assert html_blocks.main_text(f"<ul><li><a>a</a><li><a>b</a></ul><div>{long}</div><div>{long}</div>") == f"{long.strip()}\n{long.strip()}"
 
 
+def test_html_keeps_article_text_beside_layout_words_and_lone_quotes():
+    text = html_blocks.main_text
+    for name in ("entry-header", "article-header"):
+        assert text(f"<nav>Home</nav><article><div class='{name}'><h1>Head</h1></div><p>Body.</p></article>") == "Head\nBody."
+    for name in ("layout with-sidebar", "no-sidebar"):
+        page = f"<div class='{name}'><nav>Home</nav><article><p>Body.</p><div class='sidebar'>Side</div></article><div class=sidebar><p>More</p></div></div>"
+        assert text(page) == "Body."
+    assert text("<div class='no-sidebar'><div class='entry-content'><p>Body.</p></div></div>") == "Body."
+    assert text("<article><p>Body.</p></article><div id=comments><article><p>First!</p></article></div>") == "Body."
+    assert text("<article><p>Body.</p></article><div class='cookie-notice'><div class=text>We use cookies</div></div>") == "Body."
+    assert text("<article><p title=don't>First paragraph.</p><p>Second.</p></article>") == "First paragraph.\nSecond."
+    assert text('<article><p title="open>First paragraph.</p><p>Second.</p></article>') == "First paragraph.\nSecond."
+    assert text("<article><p title='a > b'>One</p><p data-x = \"it's > that\">Two</p></article>") == "One\nTwo"
+
+
 def test_html_matches_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.html_extraction(spark, SF).collect():
