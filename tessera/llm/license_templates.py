@@ -11,6 +11,9 @@ one.  A text is scanned for places where an automaton accepts: the wording outsi
 has to match word for word.  Automata start only at words that can begin them, in
 texts that hold all their mandatory words.
 
+Templates of licenses that are given by their text hold the whole wording, one for each variant.  A text with
+the opening sentence alone, or one whose rest differs, is an excerpt, with a label and a lower score of its own.
+
 Beside the templates, fixed base phrases are located: all places where a phrase's
 words stand consecutively.
 
@@ -31,6 +34,39 @@ from pyspark.sql import functions as F
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: Openings that several wordings share, and their disclaimers.
+_HOLDER = "<<opt>>copyright <<var:24>><<end>>"
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+<<opt>>(the "Software")<<end>> to deal in the Software without restriction"""
+_MIT_RIGHTS = """including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so"""
+_MIT_NOTICE = """subject to the following conditions: The above copyright notice and this permission notice <<opt>>(including the next paragraph)<<end>>
+shall be included in all copies or substantial portions of the Software."""
+_MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MIT_ENDS = [_MIT_END, _MIT_END.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")]
+_BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"""
+_BSD_1_2 = """<<opt>>1<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<opt>>2<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """Neither the name of <<var:12>> nor the names of <<opt>>its<<end>> <<opt>>any<<end>> <<opt>>other<<end>> contributors may be used to endorse or promote products derived from this
+software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var:12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_BSD_TITLE = "<<opt>><<opt>>the<<end>> <<opt>>new<<end>> <<opt>>modified<<end>> <<opt>>simplified<<end>> bsd <<opt>>2<<end>> <<opt>>3<<end>> <<opt>>4<<end>> <<opt>>clause<<end>> license<<end>>"
+_ISC_GRANT = """Permission to use, copy, modify, and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND <<var:8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE_GRANT = "This is free and unencumbered software released into the public domain"
+
 #: Labels and wordings. Words are compared in lower case without punctuation.
 TEMPLATES = [
     ("gpl-2.0", "<<opt>>this <<var:3>> is<<end>> <<opt>>licensed under<<end>> the gnu general public license <<opt>>as published by the free software foundation either<<end>> version 2"),
@@ -41,10 +77,14 @@ TEMPLATES = [
     ("apache-2.0", "licensed under the apache license <<opt>>version<<end>> 2 0"),
     ("apache-2.0", "apache license version 2 0"),
     ("mit", "<<opt>>released<<end>> <<opt>>licensed<<end>> <<opt>>distributed<<end>> under the <<opt>>terms of the<<end>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<<end>> to deal in the software without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    *[("mit", f"<<opt>><<opt>>the<<end>> mit license <<opt>>mit<<end>><<end>> {_HOLDER} {_MIT_GRANT} {_MIT_RIGHTS} {_MIT_NOTICE} {end}") for end in _MIT_ENDS],
+    *[("mit-0", f"<<opt>>mit no attribution<<end>> {_HOLDER} {_MIT_GRANT} {_MIT_RIGHTS} {end}") for end in _MIT_ENDS],
+    ("bsd-2-clause", f"{_BSD_TITLE} {_HOLDER} {_BSD_GRANT} {_BSD_1_2} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD_TITLE} {_HOLDER} {_BSD_GRANT} {_BSD_1_2} <<opt>>3<<end>> {_BSD_NAMES} {_BSD_END}"),
+    ("bsd-4-clause", f"{_BSD_TITLE} {_HOLDER} {_BSD_GRANT} {_BSD_1_2} <<opt>>3<<end>> All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by <<var:20>> <<opt>>4<<end>> {_BSD_NAMES} {_BSD_END}"),
     ("bsd", "bsd <<opt>>2<<end>> <<opt>>3<<end>> <<opt>>clause<<end>> license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", f"<<opt>><<opt>>the<<end>> isc license <<opt>>isc<<end>><<end>> {_HOLDER} {_ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"),
+    ("0bsd", f"{_HOLDER} {_ISC_GRANT} {_ISC_END}"),
     ("mpl-2.0", "mozilla public license <<opt>>v<<end>> <<opt>>version<<end>> 2 0"),
     ("cc-by-nc-4.0", "cc by nc 4 0"),
     ("cc-by-sa-4.0", "cc by sa 4 0"),
@@ -53,10 +93,20 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 <<opt>>international<<end>> <<opt>>public<<end>> license"),
     ("cc-by-4.0", "creative commons attribution 4 0 <<opt>>international<<end>> <<opt>>public<<end>> license"),
     ("cc0-1.0", "cc0 1 0 <<opt>>universal<<end>>"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", f"""{_UNLICENSE_GRANT}. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author
+or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. <<opt>>For more information, please refer to http<<opt>>s<<end>> <<opt>>unlicense org<<end>><<end>>"""),
     ("all-rights-reserved", "copyright <<var:8>> all rights reserved"),
 ]
 
+#: Openings of the wordings above: alone, or with a rest that is no wording here, they are excerpts.
+EXCERPTS = [("mit-excerpt", _MIT_GRANT), ("bsd-excerpt", _BSD_GRANT), ("isc-excerpt", _ISC_GRANT), ("unlicense-excerpt", _UNLICENSE_GRANT)]
+
 _TO_SPACE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else 0x20 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256)
 )
@@ -95,12 +145,12 @@ class Automaton:
                 for e in ends[:-1]:
                     self.free[e].append(at)
             else:
-                word = m[3].encode()
-                nxt = self._state()
-                self.steps[at].append((word, nxt))
-                at = nxt
-                if not opened:
-                    self.mandatory.add(word)
+                for word in words_of(m[3]):
+                    nxt = self._state()
+                    self.steps[at].append((word, nxt))
+                    at = nxt
+                    if not opened:
+                        self.mandatory.add(word)
         if opened or not self.mandatory:
             raise ValueError(f"template of {label}: markup isn't closed or nothing is mandatory")
         self.final = at
@@ -147,7 +197,7 @@ class Automaton:
 
 @cache
 def compiled() -> tuple[Automaton, ...]:
-    return tuple(Automaton(label, template) for label, template in TEMPLATES)
+    return tuple(Automaton(label, template) for label, template in [*TEMPLATES, *EXCERPTS])
 
 
 def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
@@ -176,9 +226,12 @@ def scan(text: str | None) -> dict:
         held = set(words) if held is None else held
         if a.mandatory <= held:
             accepted += [(a.label, s, e) for s, e in a.places(words)]
+    partial = {label for label, _ in EXCERPTS}
+    whole = [(s, e) for label, s, e in accepted if label not in partial]
+    accepted = [(label, s, e) for label, s, e in accepted if label not in partial or not any(a <= s and e <= b for a, b in whole)]
     base_labels = sorted(label for label, found in base.items() if found)
     labels = sorted({*base_labels, *(label for label, _, _ in accepted)})
-    score = 1.0 if accepted else 0.5 if starts else 0.0
+    score = 1.0 if whole else 0.75 if accepted else 0.5 if starts else 0.0
     return {"n_words": len(words), "starts": starts, "base_labels": base_labels, "labels": labels, "score": score, "templates": accepted}
 
 
@@ -186,7 +239,7 @@ SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per document: its words, base places, labels, score (1 accepted by a template, 0.5 phrases alone) and accepted ``templates``."""
+    """Per document: its words, base places, labels, score (1 accepted by a template, 0.75 an excerpt, 0.5 phrases alone) and accepted ``templates``."""
     place = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):

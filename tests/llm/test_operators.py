@@ -378,6 +378,39 @@ def test_templates():
     assert all(a.accepts_at(words(s), 0) is None for s in ("b d", "a b c x y z d", "a"))
 
 
+MIT_RIGHTS = "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+MIT_NOTICE = ", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_license_wordings_and_excerpts():
+    def found(text):
+        r = license_templates.scan(text)
+        return r["labels"], r["score"]
+
+    assert found(f"MIT License\n\nCopyright (c) 2020 Some Body\n\n{MIT_GRANT}{MIT_RIGHTS}{MIT_NOTICE}{MIT_END}") == (["mit"], 1.0)
+    assert found(f"{MIT_GRANT}{MIT_RIGHTS}.\n\n{MIT_END}") == (["mit-0"], 1.0)
+    assert found(f"{MIT_GRANT}{MIT_RIGHTS}{MIT_NOTICE}The Software shall be used for Good, not Evil. {MIT_END}") == (["mit-excerpt"], 0.75)
+    assert found(MIT_GRANT) == (["mit-excerpt"], 0.75)
+    assert found(BSD + BSD_END) == (["bsd-2-clause"], 1.0)
+    assert found("Copyright 2001, Some Body\n" + BSD + BSD_NAMES + BSD_END) == (["bsd-3-clause"], 1.0)
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n"
+    assert found(BSD + advert + BSD_NAMES.replace("3.", "4.") + BSD_END) == (["bsd-4-clause"], 1.0)
+    assert found(BSD + "3. No use in weapons.\n" + BSD_END) == (["bsd-excerpt"], 0.75)
+    assert found("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted") == (["isc-excerpt"], 0.75)
+    assert found("This is free and unencumbered software released into the public domain.") == (["unlicense-excerpt"], 0.75)
+
+
 def test_license_places_match_brute_force(spark):
     base = license_templates.PHRASES
     odd = [(100, "mit license mit license apache license, cc\nby CC-BY", "s"), (101, "É mit  licensé MIT LICENSE", "s")]
