@@ -8,13 +8,13 @@ can reach.  Such a table outlives the executor that wrote it; nothing here uses
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: White space that separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,19 +23,6 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; sets one of its own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-scratch")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder name in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"

@@ -6,8 +6,6 @@ names and types by a thin projection.  ``STORES`` run writing statements in a fr
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Database, Executor
+from ..sources.scratch import shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -117,14 +116,15 @@ _SUMMED = ("s", "a", "lo", "hi")
 
 def database(spark: SparkSession, sf_dir: str) -> Database:
     """A database with the driver's tables attached; only those that a query names are read."""
-    db = Database.open(_folder(), spark)
+    db = Database.open(_folder(spark), spark)
     for t in TABLES:
         db.attach(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     return db
 
 
-def _folder() -> str:
-    return os.path.join(tempfile.gettempdir(), f"tessera-db-{uuid.uuid4().hex}")
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that the executors write and the driver lists."""
+    return f"{shared_dir(spark)}/tessera-db-{uuid.uuid4().hex}"
 
 
 def _select(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -143,7 +143,7 @@ def _select(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _loaded(spark: SparkSession, sf_dir: str, index: bool = False) -> tuple[Database, Executor]:
     """A fresh database with a managed copy of ``nation``'s and ``supplier``'s columns."""
-    db = Database.open(_folder(), spark)
+    db = Database.open(_folder(spark), spark)
     ex = Executor(db)
     ex.execute("CREATE TABLE s (k INT64, name VARCHAR, nation INT32, bal FLOAT64)")
     if index:
@@ -162,7 +162,7 @@ def _index_eq(spark, sf_dir):
 
 
 def _insert_select(spark, sf_dir):
-    ex = Executor(Database.open(_folder(), spark))
+    ex = Executor(Database.open(_folder(spark), spark))
     ex.execute("CREATE TABLE users (id INT32, name VARCHAR, score FLOAT64)")
     ex.execute("INSERT INTO users VALUES (1, 'Alice', 50.5), (2, 'Bob', 75.25)")
     ex.execute("INSERT INTO users VALUES (3, 'Charlie', 10.0)")
@@ -170,7 +170,7 @@ def _insert_select(spark, sf_dir):
 
 
 def _insert_coerce(spark, sf_dir):
-    ex = Executor(Database.open(_folder(), spark))
+    ex = Executor(Database.open(_folder(spark), spark))
     ex.execute("CREATE TABLE t (a INT32, b FLOAT64, c VARCHAR, d BOOL)")
     ex.execute("INSERT INTO t VALUES (1.5, 2, 3, 1), ('x', 'y', 'z', 'w'), (7, 1.25, 2.5, 0)")
     return ex.query("SELECT a, b, c, d FROM t")
@@ -241,7 +241,7 @@ def _txn_snapshot(spark, sf_dir):
 
 def _backup_restore(spark, sf_dir):
     db, ex = _loaded(spark, sf_dir)
-    target = _folder()
+    target = _folder(spark)
     ex.execute(f"BACKUP TO '{target}'")
     ex.execute("DELETE FROM s")
     return Executor(Database.open(target, spark)).query(_S)

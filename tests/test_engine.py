@@ -8,7 +8,7 @@ import pytest
 from tessera.cli import Shell
 from tessera.errors import AlreadyExists, Conflict, InvalidArgument, NotFound
 from tessera.functions.types import coerce, rendered
-from tessera.plans import ast
+from tessera.plans import ast, queries
 from tessera.plans.parser import parse
 from tessera.session import Database, Executor
 from tessera.streaming.schedule import BackupSchedule
@@ -224,3 +224,11 @@ def test_shell(db):
     Shell(db).run(["CREATE TABLE t (a INT32,\n", "b VARCHAR);\n", "INSERT INTO t VALUES (1, 'x');\n", ".tables\n", ".schema t\n", "SELECT * FROM t;\n", "SELECT zip FROM t;\n", ".exit\n", "SELECT"], out)
     text = out.getvalue()
     assert "| a | b |" in text and "(1 row)" in text and "a INT32" in text and "error: column zip not found" in text
+
+
+@pytest.mark.parametrize("name", ["index_eq", "delete_where", "vacuum_after_delete", "backup_restore", "pitr", "reopen"])
+def test_stores_lie_in_the_shared_folder(spark, name):
+    """Executors write a table's files where the driver can list them."""
+    files = queries.STORES[name][0](spark, "/root/testdata/sf0.001").inputFiles()
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert files and all(f.removeprefix("file://").startswith(f"{shared}/") for f in files)
