@@ -17,8 +17,10 @@ a spanning forest, never its pairs; a pair that meets in several tables counts i
 first of them.  A bucket with more than ``BLOCK`` classes is split into blocks, and
 each two blocks meet in a task of their own, so no task holds a whole hot bucket.
 
-Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or
-have another length than most vectors link with nothing; rows with a null
+Each length of vectors has an index of its own.
+
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component
+link with nothing; vectors of different lengths never link; rows with a null
 ``vec_id`` link with nothing and have a null ``component_id``; rows with
 equal ``vec_id`` are one node of the graph and each keeps a row; an empty table gives
 no rows; further columns are ignored.
@@ -27,6 +29,7 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
@@ -191,27 +194,13 @@ def _compare(threshold: float, dim: int, tables: int):
     return run
 
 
-def linked(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) -> DataFrame:
-    """Per row of ``vectors`` (``vec_id``, ``embedding``): ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
-    spark = vectors.sparkSession
-    e = F.col("embedding").cast("array<double>")
-    size = F.aggregate("e", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v)))
-    fine = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
-    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("e") > 0) & fine & (size > 0), F.lit(False))
-    dims = rows.where(good).groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dims[0].d if dims else 0
-    # scaling by the largest component keeps norms of huge and tiny vectors finite
-    scaled = F.transform("e", lambda v: v / F.col("top"))
-    rows = rows.withColumn("good", good & (F.size("e") == dim)).withColumn("top", size)
-    rows = rows.select("vec_id", F.when(F.col("good"), scaled).alias("e"))
-    rows = rows.withColumns({"h1": F.xxhash64("e"), "h2": F.hash("e")})
-    classes = rows.where("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("e").alias("e"))
-    if not dim:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+def _searched(rows: DataFrame, dim: int, n: int, threshold: float, sample: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of the ``n`` vectors of a length, and their counts and links."""
+    spark = rows.sparkSession
+    classes = rows.where(F.size("e") == dim).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("e").alias("e"))
     picked = classes.orderBy(F.xxhash64("rep", "h1"), "rep").limit(sample).select("e").collect()
     x = np.array([r.e for r in picked], float).reshape(len(picked), dim)
-    index = learn(x / np.linalg.norm(x, axis=1, keepdims=True), dims[0]["count"], threshold)
+    index = learn(x / np.linalg.norm(x, axis=1, keepdims=True), n, threshold)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches):
@@ -231,7 +220,26 @@ def linked(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) ->
     met = keyed.join(full, ["table", "key"]).withColumn("mine", mine).select("table", "key", "h1", "h2", F.explode(pairs).alias("p"))
     met = met.select("table", "key", "p.pair", "p.side", "h1", "h2").join(classes.select("h1", "h2", "rep", "w", "keys", "e"), ["h1", "h2"])
     met = met.select("table", "key", "pair", "side", "rep", "w", "keys", "e").repartition(2 * wide(spark), "table", "key", "pair").sortWithinPartitions("table", "key", "pair", "side")
-    found = written(met.mapInArrow(_compare(threshold, dim, index.tables), "a long, b long, n long"), "links")
+    return classes.select("h1", "h2", "rep", "w"), written(met.mapInArrow(_compare(threshold, dim, index.tables), "a long, b long, n long"), "links")
+
+
+def linked(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) -> DataFrame:
+    """Per row of ``vectors`` (``vec_id``, ``embedding``): ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
+    e = F.col("embedding").cast("array<double>")
+    size = F.aggregate("e", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v)))
+    fine = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
+    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("e") > 0) & fine & (size > 0), F.lit(False))
+    dims = rows.where(good).groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").collect()
+    # scaling by the largest component keeps norms of huge and tiny vectors finite
+    scaled = F.transform("e", lambda v: v / F.col("top"))
+    rows = rows.withColumn("good", good).withColumn("top", size)
+    rows = rows.select("vec_id", F.when(F.col("good"), scaled).alias("e"))
+    rows = rows.withColumns({"h1": F.xxhash64("e"), "h2": F.hash("e")})
+    if not dims:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    each = [_searched(rows, r.d, r["count"], threshold, sample) for r in dims]
+    classes, found = (reduce(DataFrame.unionAll, z) for z in zip(*each, strict=True))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "ca")
     roots = components(found.where("n = 0").select("a", "b"))
     named = classes.select("h1", "h2", "rep", "w").join(counts, F.col("rep") == F.col("ca"), "left").join(roots, F.col("rep") == F.col("node"), "left")

@@ -208,6 +208,13 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_itq.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_each_length_link(spark):
+    rows = [(k, [1.0, float(k), 2.0]) for k in range(10)] + [(20, [1.0, 2.0]), (21, [2.0, 4.0]), (22, [1.0, 2.001]), (23, [-3.0, 1.0]), (24, [-3.0, 1.0])]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_itq.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {(20, 2, 20), (21, 2, 20), (22, 2, 20)} <= got
+    assert {(23, 1, 23), (24, 1, 23)} <= got
+
+
 def test_embeddings_split_buckets(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.normal(size=8)
