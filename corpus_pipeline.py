@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing_tree, packing_hilbert, pii_boost, simhash_pivots, toxicity_mil
 from tessera.llm.queries import TOXIC, vocabulary
-from tessera.llm.shared import written
+from tessera.llm.shared import forget, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest ``doc_id``; rows without an id stay.
-
-    Rows that share that id stay once for each different text.
-    """
-    found = simhash_pivots.similar(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.unionAll(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates one row: of its smallest ``doc_id`` (rows without an id come last), repeated rows once."""
+    id_, name = (next(n for k in range(len(docs.columns) + 2) if (n := f"{x}{k}") not in docs.columns) for x in ("_id", "_name"))
+    kept = simhash_pivots.similar(docs).where("first").select(F.col("doc_id").alias(id_), F.col("same").alias(name)).distinct()
+    named = docs.withColumn(f"{name}_", simhash_pivots.text_name())
+    rows = named.join(kept, named.doc_id.eqNullSafe(F.col(id_)) & (F.col(f"{name}_") == F.col(name)), "left_semi")
+    return rows.dropDuplicates(["doc_id", f"{name}_"]).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +52,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
+            forget(before)  # what the stage read; only tables that ``written`` made
+            before = docs
     return docs

@@ -55,9 +55,10 @@ def forget(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    mine = f"{shared_dir(spark)}/tessera/".split(":", 1)[-1].lstrip("/")
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
-        if "/tessera/" in folder:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(mine):  # nothing but scratch is ever deleted
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 

@@ -20,7 +20,7 @@ therefore first restricted to fingerprints that agree on a key:
   fingerprints, and verifies survivors on the texts' whole shingle sets.  Fingerprints
   of short texts scatter, so some pairs at the threshold lie beyond any useful radius.
   Texts of different groups therefore also meet at the shingles that come first in a
-  common order: sets with that Jaccard share one of them, so the result is exact.
+  common order (``shingle_order``): sets with that Jaccard share one of them, so the result is exact.
 
 Equal fingerprints are one class, represented by its smallest ``doc_id``, before
 anything is compared: copies never become pairs.  Each task keeps of the links
@@ -31,7 +31,7 @@ group of their own, so no task holds a whole hot key.
 
 Defined results: a null text is an empty text; no words give fingerprint zero,
 linked like any other; rows with a null ``doc_id`` get the class of their
-fingerprint but represent none (a class with no other row has a null
+fingerprint but represent none (a group with no other row has a null
 ``component_id``); repeated rows keep their rows; an empty table gives no rows;
 further columns are ignored.
 """
@@ -43,12 +43,12 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, forget, wide, written
+from .shingle_order import HOT, first_keys, hot_shingles
+from .shingles import pressed, shingle_hashes, shingle_set
 
 #: Number of pivots, and the seed that their fingerprints come from.
 PIVOTS, PIVOT_SEED = 12, 20
@@ -56,27 +56,8 @@ PIVOTS, PIVOT_SEED = 12, 20
 CHUNK = 250_000
 #: Rows of a key that a task compares at once; a hot key is split into blocks of about as many.
 BLOCK = 50_000
-#: Counters of shingles, by the low bits of their hash: a fixed size, whatever the corpus.
-SLOTS = 1 << 15
-
-
-def shingle_hashes(text: str, size: int) -> np.ndarray:
-    """XXH64 (seed 42) of the text's word shingles, repeats included.
-
-    A-Z are lower-cased, words are runs of anything but white space; a text with
-    fewer words than ``size`` has its whole word sequence as one shingle.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(length + 1) - 1
-    starts = ends - length
-    n = max(1, len(words) - size + 1)
-    last = ends[min(size, len(words)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64, n)
+#: Bits of the sketch of a shingle set.
+SKETCH = 1024
 
 
 def vote(hashes: np.ndarray) -> int:
@@ -178,17 +159,16 @@ def nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tup
 BOTH = 2
 
 
-def dealt(keyed: DataFrame, node: str, sure_cold: bool = False) -> DataFrame:
+def dealt(keyed: DataFrame, node: str) -> DataFrame:
     """Rows by ``key`` in key order, with ``side``; those of a hot key once for each block that theirs meets.
 
     The group of two blocks gets a key of its own.  Should two groups' keys agree, their
-    rows are compared with each other too, which loses nothing.  ``sure_cold`` says that
-    a bound on the keys' rows is known which makes counting them needless.
+    rows are compared with each other too, which loses nothing.
     """
     spark = keyed.sparkSession
-    hot = None if sure_cold else written(keyed.groupBy("key").count().where(F.col("count") > BLOCK), "hot-keys")
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > BLOCK), "hot-keys")
     names = keyed.columns
-    if hot is None or hot.isEmpty():
+    if hot.isEmpty():
         met = keyed.withColumn("side", F.lit(BOTH))
     else:
         hot = hot.select(F.col("key").alias("hk"), F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
@@ -209,7 +189,7 @@ def by_whole_keys(compare):
         held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
-            part = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+            part = [_sketches(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not len(part[0]):
                 continue
             held.append(part)
@@ -290,69 +270,61 @@ def linked(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """``node`` and its ``text`` compressed, as it is written and exchanged more than once; null counts as empty."""
-
-    def run(batches):
-        pack = zstandard.ZstdCompressor().compress
-        for b in batches:
-            packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["node", "text"])
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the shingles by the low bits of their hashes.
 
-    return texts.mapInArrow(run, "node long, text binary")
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    return np.packbits(np.bincount((own % SKETCH).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
-def _hashes(packed: bytes, size: int) -> np.ndarray:
-    """``shingle_hashes`` of a compressed text."""
-    return shingle_hashes(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass"), size)
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
 
 
-def _counted_prints(docs: DataFrame, size: int) -> DataFrame:
-    """Rows ``rep, fp`` of every given text, and rows ``slot, n``: texts with a shingle in that slot, by task."""
+def _differ(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of rows i and j, some of them at once."""
+    step = 1 << 15
+    parts = [np.bitwise_count(sketches[i[k : k + step]] ^ sketches[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
 
-    def run(batches):
-        count = np.zeros(SLOTS, np.int64)
-        none = lambda n, kind: pa.nulls(n, kind)
-        for b in batches:
-            fp = np.zeros(b.num_rows, np.uint64)
-            for k, t in enumerate(b.column(1)):
-                hashes = _hashes(t.as_py(), size)
-                fp[k] = vote(hashes)
-                count += np.bincount((np.unique(hashes) % SLOTS).astype(np.int64), minlength=SLOTS)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), none(n, pa.int32()), none(n, pa.int64())], names=["rep", "fp", "slot", "n"])
-        slot = np.flatnonzero(count)
-        n = len(slot)
-        yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(slot.astype(np.int32)), pa.array(count[slot])], names=["rep", "fp", "slot", "n"])
 
-    return docs.mapInArrow(run, "rep long, fp long, slot int, n long")
+def may_reach(n: np.ndarray, m: np.ndarray, differ: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` that differ in at least ``differ`` shingles may have a Jaccard of ``threshold``."""
+    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-9)
 
 
-def first_shingles(hashes: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
-    """The shingles that come first in the common order, and the size of the whole set.
+def text_name():
+    """A name (long) for the text in ``text``, the same for equal texts; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
 
-    The order is by count, rare ones first, then by hash.  Any order common to all texts
-    is right: sets with a Jaccard of ``threshold`` share one of their first.
-    """
-    own = np.unique(hashes)
-    n = len(own)
-    order = np.lexsort((own, counts[(own % SLOTS).astype(np.int64)]))
-    return own[order[: n - int(np.ceil(threshold * n - 1e-9)) + 1]] if n else own, n
 
+def _described(docs: DataFrame, size: int) -> DataFrame:
+    """Per document what the search needs of its text; and rows ``hash, count`` of shingles frequent in a batch of texts.
 
-def _firsts(docs: DataFrame, size: int, counts: np.ndarray, threshold: float) -> DataFrame:
-    """``node``, its set's ``size`` and ``keys``, its first shingles in order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    ``same`` names the text, ``size`` is that of its shingle set, ``text`` is compressed.
+    """
+    names = ["doc_id", "same", "size", "fp", "sketch", "text", "hash", "count"]
 
     def run(batches):
         for b in batches:
-            found = [first_shingles(_hashes(t.as_py(), size), shared.value, threshold) for t in b.column(1)]
-            keys = [k.view(np.int64) for k, _ in found]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "size", "keys"])
-
-    return docs.mapInArrow(run, "node long, size long, keys array<long>")
+            texts = [t.as_py() or "" for t in b.column(2)]
+            fp, n, sketches = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), []
+            once: dict[str, np.ndarray] = {}
+            for k, t in enumerate(texts):
+                hashes = shingle_hashes(t, size)
+                own = np.unique(hashes)
+                fp[k], n[k] = vote(hashes), len(own)
+                sketches.append(sketch(own))
+                once[t] = own
+            rows = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary()), pa.array([pressed(t) for t in texts], pa.binary()), rows, rows], names=names)
+            hashes, count = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            on = count >= max(3, HOT / 2 * len(once))
+            none = lambda kind: pa.nulls(int(on.sum()), kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([*[none(pa.int64())] * 4, none(pa.binary()), none(pa.binary()), pa.array(hashes[on].view(np.int64)), pa.array(count[on])], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, same long, size long, fp long, sketch binary, text binary, hash long, count long")
 
 
 def unlinked_pairs(key, node, group, size, place, side, threshold: float):
@@ -397,21 +369,48 @@ def unlinked_pairs(key, node, group, size, place, side, threshold: float):
         at = end
 
 
-def _unlinked(threshold: float):
-    def pairs(key, node, group, size, place, side):
+def _unlinked(threshold: float, closest: bool):
+    """Pairs (a, b) of rows (key, node, group, size, place, sketch, side) whose sketches let them reach ``threshold``.
+
+    With ``closest``, of each two groups that meet at a key in a chunk only the pair whose sketches are closest.
+    """
+
+    def pairs(key, node, group, size, place, sketches, side):
         for i, j in unlinked_pairs(key, node, group, size, place, side, threshold):
+            differ = _differ(sketches, i, j)
+            on = may_reach(size[i], size[j], differ, threshold)
+            i, j, differ = i[on], j[on], differ[on]
+            if closest and len(i):
+                low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+                order = np.lexsort((differ / (size[i] + size[j]), high, low))
+                first = np.ones(len(order), bool)
+                first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+                i, j, differ = i[order][first], j[order][first], differ[order][first]
             if len(i):
-                a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                far = differ / (size[i] + size[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j])), pa.array(far)], names=["a", "b", "far"])
 
     return by_whole_keys(pairs)
 
 
+def _likely(links: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) that sizes and sketches let reach ``threshold``."""
+
+    def run(batches):
+        for b in batches:
+            n, m = (b.column(k).to_numpy() for k in (2, 4))
+            differ = np.bitwise_count(_sketches(b.column(3)) ^ _sketches(b.column(5))).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(may_reach(n, m, differ, threshold)))
+
+    both = links.select("a", "b").join(prints.toDF("a", "na", "sa"), "a").join(prints.toDF("b", "nb", "sb"), "b")
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
 def _reaching(size: int, threshold: float):
     """A function for mapInArrow over rows (a, b, text of a, text of b): the (a, b) whose shingle sets reach ``threshold``."""
 
     def reach(x: bytes, y: bytes) -> bool:
-        u, v = (np.unique(_hashes(t, size)) for t in (x, y))
+        u, v = shingle_set(x, size), shingle_set(y, size)
         common = len(u) + len(v) - len(np.union1d(u, v)) if min(len(u), len(v)) >= threshold * max(len(u), len(v)) else 0
         return common >= threshold * (len(u) + len(v) - common)
 
@@ -431,61 +430,63 @@ def _verified(texts: DataFrame, links: DataFrame, size: int, threshold: float) -
     return written(both.mapInArrow(_reaching(size, threshold), "a long, b long"), "sure")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different groups, ``ga`` and ``gb``; a node without a root is its own group."""
-    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    return both.withColumns({"ga": F.coalesce("ra", "a"), "gb": F.coalesce("rb", "b")}).where("ga <> gb")
+def _across(keyed: DataFrame, prints: DataFrame, roots: DataFrame, threshold: float, closest: bool) -> DataFrame:
+    """Pairs (a, b, far) of nodes that share a key, aren't in the same group and may reach ``threshold``."""
+    met = keyed.join(roots, "node", "left").join(prints.select("node", "sketch"), "node")
+    met = met.select("key", "node", F.coalesce("root", "node").alias("group"), "size", "place", "sketch")
+    return dealt(met, "node").mapInArrow(_unlinked(threshold, closest), "a long, b long, far double")
 
 
 def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits: int = 4) -> DataFrame:
     """Per document: ``doc_id`` and ``component_id`` by links of texts whose shingle sets have a Jaccard of ``threshold``.
 
+    ``same`` is the text's name, ``first`` marks the row that stands for its group: of those with its smallest
+    ``doc_id`` the text with the smallest name (of a group without any id the same); repeated rows are all marked.
+
     The radius of the search is the expected distance at the threshold plus
     ``slack_bits``.  Of the survivors that share a key, each class is linked to its
     closest earlier one, and these links are verified on the
     whole shingle sets.  Texts that this leaves in different groups are then brought together
-    by their first shingles and verified likewise: of any two groups first the pair that shares
-    most of them, then every pair whose groups are still apart, so no link between groups is lost.
+    by their first shingles (``shingle_order``); of any two groups first the closest pair is verified,
+    then every pair whose groups are still apart, so no link between groups is lost.
+    Sketches discard most pairs before their texts are fetched, and never one at the threshold.
     Classes of equal fingerprints whose texts differ are compared like any others.
     """
     cosine = 2 * threshold / (1 + threshold)
     angle = float(np.arccos(cosine) / np.pi)
     radius = round(64 * angle) + slack_bits
-    content = F.xxhash64(F.coalesce("text", F.lit("")), F.length("text"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", content.alias("same"))
-    members = written(keyed.select("doc_id", "same"), "members")
-    firsts = members.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    unique = keyed.join(firsts, (keyed.doc_id == firsts.rep) & (keyed.same == firsts.same), "left_semi").dropDuplicates(["doc_id", "same"])
-    unique = written(_packed(unique.select(F.col("same").alias("node"), "text")), "texts")
-    counted = written(_counted_prints(unique, size), "prints")
-    prints = counted.where("rep is not null").select("rep", "fp")
-    masks = sampled_masks(angle, prints.count())
-    links = candidate_links(prints, masks, radius, True).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
-    links = written(links.select("a", "m.b"), "links")
-    sure = _verified(unique, links, size, threshold)
-    roots = written(components(sure), "roots")
-
-    counts = np.zeros(SLOTS, np.int64)
-    for slot, n in counted.where("slot is not null").groupBy("slot").agg(F.sum("n")).collect():
-        counts[slot] = n
-    # a key has at most as many rows as its slot counts texts
-    ahead = _firsts(unique, size, counts, threshold).join(roots, "node", "left")
-    ahead = written(ahead.select("node", F.coalesce("root", "node").alias("group"), "size", "keys"), "ahead")
-    met = ahead.select("node", "group", "size", F.posexplode("keys").alias("place", "key"))
-    met = met.select("key", "node", "group", "size", F.col("place").cast("long").alias("place"))
-    pairs = dealt(met, "node", bool(counts.max() <= BLOCK)).mapInArrow(_unlinked(threshold), "a long, b long")
-    rest = written(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "rest")
-    # of two groups first the pair that shares most: it joins most of them, and what is joined needs no other pair
-    best = _apart(rest, roots).groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(F.max(F.struct("shared", "a", "b")).alias("m"))
+    described = written(_described(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("same"), "text"), size), "described")
+    members = written(described.where("same is not null").select("doc_id", "same"), "members")
+    firsts = members.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    own = described.where("same is not null").select("doc_id", "same", "size", "fp", "sketch", "text")
+    unique = own.join(firsts, own.doc_id.eqNullSafe(firsts.rep) & (own.same == firsts.same), "left_semi").dropDuplicates(["same"])
+    unique = written(unique.select(F.col("same").alias("node"), "size", "fp", "sketch", "text"), "texts")
+    texts, prints = unique.select("node", "text"), unique.select("node", "size", "sketch")
+
+    n, shingles = unique.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    masks = sampled_masks(angle, n)
+    links = candidate_links(unique.select(F.col("node").alias("rep"), "fp"), masks, radius, True).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    links = written(_likely(links.select("a", "m.b"), prints, threshold), "links")
+    sure = [_verified(texts, links, size, threshold)]
+    roots = written(components(sure[0]), "roots")
+
+    hot = hot_shingles(described.where("hash is not null").select("hash", "count"), n, shingles)
+    keyed = written(first_keys(texts, size, threshold, shingles, hot), "keyed")
+    # of two groups first the closest pair: it joins most of them, and what is joined needs no other pair
+    met = _across(keyed, prints, roots, threshold, True).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    met = met.withColumns({"ga": F.coalesce("ra", "a"), "gb": F.coalesce("rb", "b")})
+    best = met.groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(F.min(F.struct("far", "a", "b")).alias("m"))
     best = written(best.select("m.a", "m.b"), "best")
-    found = [sure, _verified(unique, best, size, threshold)]
-    roots = written(components(found[1].unionAll(roots.toDF("a", "b"))), "roots")
-    left = written(_apart(rest, roots).select("a", "b"), "left")
-    found.append(_verified(unique, left, size, threshold))
-    roots = components(found[2].unionAll(roots.toDF("a", "b")))
-    for table in (unique, counted, links, ahead, rest, best, left, *found):  # what is returned reads none of these
+    sure.append(_verified(texts, best, size, threshold))
+    joined = written(components(sure[1].unionAll(roots.toDF("a", "b"))), "roots")
+    left = _across(keyed, prints, joined, threshold, False).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+    left = written(left, "left")
+    sure.append(_verified(texts, left, size, threshold))
+    found = components(sure[2].unionAll(joined.toDF("a", "b")))
+    for table in (described, unique, links, roots, keyed, best, joined, left, *sure):  # what is returned reads none of these
         forget(table)
-    named = firsts.join(roots, firsts.same == roots.node, "left").select("same", "rep", F.coalesce("root", "same").alias("group"))
-    lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "group").select("same", "component_id")
-    return members.join(named, "same", "left").select("doc_id", "component_id")
+    named = firsts.join(found, firsts.same == found.node, "left").select("same", "rep", F.coalesce("root", "same").alias("group"))
+    lowest = named.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "same")).alias("low"))
+    named = named.join(lowest, "group").select("same", F.col("low.rep").alias("component_id"), F.col("low.same").alias("low"))
+    first = (F.col("same") == F.col("low")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return members.join(named, "same", "left").select("doc_id", "component_id", "same", first.alias("first"))
