@@ -22,11 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row: of its smallest ``doc_id`` (rows without an id come last), repeated rows once."""
-    id_, name = (next(n for k in range(len(docs.columns) + 2) if (n := f"{x}{k}") not in docs.columns) for x in ("_id", "_name"))
-    kept = simhash_pivots.similar(docs).where("first").select(F.col("doc_id").alias(id_), F.col("same").alias(name)).distinct()
-    named = docs.withColumn(f"{name}_", simhash_pivots.text_name())
-    rows = named.join(kept, named.doc_id.eqNullSafe(F.col(id_)) & (F.col(f"{name}_") == F.col(name)), "left_semi")
-    return rows.dropDuplicates(["doc_id", f"{name}_"]).select(*docs.columns)
+    names = (n for k in range(len(docs.columns) + 3) if (n := f"_near{k}") not in docs.columns)
+    own, kept_id, kept_name = (next(names) for _ in range(3))
+    kept = simhash_pivots.similar(docs).where("first").select(F.col("doc_id").alias(kept_id), F.col("same").alias(kept_name)).distinct()
+    rows = docs.withColumn(own, simhash_pivots.text_name())
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_name)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each returns is written and read again."""
-    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
-            forget(before)  # what the stage read; only tables that ``written`` made
+            if before is not None:  # the stage has read it; what came first is the input and stays
+                forget(before)
             before = docs
     return docs
