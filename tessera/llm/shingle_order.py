@@ -31,9 +31,9 @@ from .shared import wide
 from .shingles import block, columns_of, shingle_set
 
 #: Shingles, and texts, of a batch; a text with more shingles is a batch of its own.
-BATCH, TEXTS = 1 << 21, 1 << 16
+BATCH, TEXTS = 1 << 19, 1 << 16
 #: Shingles that a counting task holds at once, about.
-RANGE = 1 << 21
+RANGE = 1 << 20
 #: Share of all texts that makes a shingle hot, and hot shingles at most: the share rises until the bound holds.
 HOT, HOT_MOST = 0.01, 1 << 18
 

@@ -52,8 +52,8 @@ from .shingles import pressed, shingle_hashes, shingle_set
 
 #: Number of pivots, and the seed that their fingerprints come from.
 PIVOTS, PIVOT_SEED = 12, 20
-#: Pairs that a task expands at once.
-CHUNK = 250_000
+#: Pairs that a task expands at once, and rows that it gathers before it compares (the rows of a key come together anyway).
+CHUNK, HELD = 100_000, 50_000
 #: Rows of a key that a task compares at once; a hot key is split into blocks of about as many.
 BLOCK = 50_000
 #: Bits of the sketch of a shingle set.
@@ -194,7 +194,7 @@ def by_whole_keys(compare):
                 continue
             held.append(part)
             rows += len(part[0])
-            if rows < 200_000 or held[0][0][0] == part[0][-1]:
+            if rows < HELD or held[0][0][0] == part[0][-1]:
                 continue
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
