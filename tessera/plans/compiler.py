@@ -16,16 +16,16 @@ from ..operators import relational as rel
 from . import ast
 
 
-def compile_select(stmt: ast.Select, table: Callable[[str], DataFrame], hidden: tuple[str, ...] = ("_rid",), ordered: bool = False) -> DataFrame:
+def compile_select(stmt: ast.Select, table: Callable[[str], DataFrame], hidden: tuple[str, ...] = ("_seq", "_rid"), ordered: bool = False) -> DataFrame:
     """The statement over the tables that ``table`` gives by name.
 
     With ``ordered``, rows of a managed table without ORDER BY come in insertion order.
     """
     source = table(stmt.table)
     own = rel.scan(source, stmt.table, "l", hidden)
-    by_insertion = ordered and stmt.join is None and stmt.order_by is None and "_rid" in source.columns
+    by_insertion = ordered and stmt.join is None and stmt.order_by is None and set(hidden) <= set(source.columns)
     if by_insertion:
-        own = rel.Scan(source.select(*[F.col(f"`{f.name}`").alias(f.internal) for f in own.fields], F.col("_rid").alias("rid")), own.fields)
+        own = rel.Scan(source.select(*[F.col(f"`{f.name}`").alias(f.internal) for f in own.fields], *hidden), own.fields)
     if stmt.join:
         if stmt.join.table == stmt.table:
             raise InvalidArgument("a table can't be joined with itself")
@@ -41,7 +41,7 @@ def compile_select(stmt: ast.Select, table: Callable[[str], DataFrame], hidden:
         key = F.col(rel.resolve(stmt.order_by, fields).internal)
         df = df.orderBy(key.desc() if stmt.descending else key.asc())
     elif by_insertion:
-        df = df.orderBy("rid")
+        df = df.orderBy(*hidden)
     df = rel.window_of(df, stmt.limit, stmt.offset)
     if not stmt.columns:
         chosen = [(f, f"{f.table}.{f.name}" if stmt.join else f.name) for f in fields]

@@ -6,14 +6,14 @@ names and types by a thin projection.  ``STORES`` run writing statements in a fr
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Database, Executor
-from ..sources.scratch import shared_dir
+from . import fixtures
+from .store import fresh_database, fresh_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -116,17 +116,12 @@ _SUMMED = ("s", "a", "lo", "hi")
 
 def database(spark: SparkSession, sf_dir: str) -> Database:
     """A database with the driver's tables attached; only those that a query names are read."""
-    db = Database.open(_folder(spark), spark)
+    db = fresh_database(spark)
     for t in TABLES:
         db.attach(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     return db
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that the executors write and the driver lists."""
-    return f"{shared_dir(spark)}/tessera-db-{uuid.uuid4().hex}"
-
-
 def _select(name: str) -> Callable[[SparkSession, str], DataFrame]:
     sql, names, _ = SELECTS[name]
 
@@ -143,7 +138,7 @@ def _select(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _loaded(spark: SparkSession, sf_dir: str, index: bool = False) -> tuple[Database, Executor]:
     """A fresh database with a managed copy of ``nation``'s and ``supplier``'s columns."""
-    db = Database.open(_folder(spark), spark)
+    db = fresh_database(spark)
     ex = Executor(db)
     ex.execute("CREATE TABLE s (k INT64, name VARCHAR, nation INT32, bal FLOAT64)")
     if index:
@@ -162,7 +157,7 @@ def _index_eq(spark, sf_dir):
 
 
 def _insert_select(spark, sf_dir):
-    ex = Executor(Database.open(_folder(spark), spark))
+    ex = Executor(fresh_database(spark))
     ex.execute("CREATE TABLE users (id INT32, name VARCHAR, score FLOAT64)")
     ex.execute("INSERT INTO users VALUES (1, 'Alice', 50.5), (2, 'Bob', 75.25)")
     ex.execute("INSERT INTO users VALUES (3, 'Charlie', 10.0)")
@@ -170,7 +165,7 @@ def _insert_select(spark, sf_dir):
 
 
 def _insert_coerce(spark, sf_dir):
-    ex = Executor(Database.open(_folder(spark), spark))
+    ex = Executor(fresh_database(spark))
     ex.execute("CREATE TABLE t (a INT32, b FLOAT64, c VARCHAR, d BOOL)")
     ex.execute("INSERT INTO t VALUES (1.5, 2, 3, 1), ('x', 'y', 'z', 'w'), (7, 1.25, 2.5, 0)")
     return ex.query("SELECT a, b, c, d FROM t")
@@ -241,7 +236,7 @@ def _txn_snapshot(spark, sf_dir):
 
 def _backup_restore(spark, sf_dir):
     db, ex = _loaded(spark, sf_dir)
-    target = _folder(spark)
+    target = fresh_folder(spark)
     ex.execute(f"BACKUP TO '{target}'")
     ex.execute("DELETE FROM s")
     return Executor(Database.open(target, spark)).query(_S)
@@ -281,9 +276,38 @@ STORES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+#: Statements whose results keep the names that the dialect gives them; doubles here are exact.
+NAMED: dict[str, tuple[str, str]] = {
+    "names_star": ("SELECT * FROM region", "SELECT r_regionkey, r_name FROM region"),
+    "names_aggregates": (
+        "SELECT COUNT(*), COUNT(l_tax), SUM(l_quantity), MIN(l_quantity), MAX(l_linenumber) FROM lineitem",
+        'SELECT COUNT(*) AS "COUNT(*)", COUNT(l_tax) AS "COUNT(l_tax)", SUM(l_quantity) AS "SUM(l_quantity)", MIN(l_quantity) AS "MIN(l_quantity)", MAX(l_linenumber) AS "MAX(l_linenumber)" FROM lineitem',
+    ),
+    "names_group": ("SELECT l_returnflag, SUM(l_quantity) FROM lineitem GROUP BY l_returnflag", 'SELECT l_returnflag, SUM(l_quantity) AS "SUM(l_quantity)" FROM lineitem GROUP BY 1'),
+    "names_join": (
+        "SELECT nation.n_name, r_name, region.r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey",
+        'SELECT n_name AS "nation.n_name", r_name, r_regionkey AS "region.r_regionkey" FROM nation JOIN region ON n_regionkey = r_regionkey',
+    ),
+    "names_join_star": (
+        "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey",
+        'SELECT n_nationkey AS "nation.n_nationkey", n_name AS "nation.n_name", n_regionkey AS "nation.n_regionkey", r_regionkey AS "region.r_regionkey", r_name AS "region.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey',
+    ),
+    "names_join_group": (
+        "SELECT region.r_name, COUNT(nation.n_name), MAX(nation.n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY region.r_name",
+        'SELECT r_name AS "region.r_name", COUNT(n_name) AS "COUNT(nation.n_name)", MAX(n_nationkey) AS "MAX(nation.n_nationkey)" FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1',
+    ),
+}
+
+
+def _named(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Executor(database(spark, sf_dir)).query(NAMED[name][0])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _select(name) for name in SELECTS} | {name: f for name, (f, _) in STORES.items()}
+    found = {name: _select(name) for name in SELECTS} | {name: _named(name) for name in NAMED}
+    return found | {name: f for name, (f, _) in (STORES | fixtures.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in SELECTS.items()} | {name: sql for name, (_, sql) in STORES.items()}
+    found = {name: sql for name, (_, _, sql) in SELECTS.items()} | {name: sql for name, (_, sql) in NAMED.items()}
+    return found | {name: sql for name, (_, sql) in (STORES | fixtures.QUERIES).items()}

@@ -6,8 +6,9 @@ import threading
 import pytest
 
 from tessera.cli import Shell
-from tessera.errors import AlreadyExists, Conflict, InvalidArgument, NotFound
+from tessera.errors import AlreadyExists, Conflict, InvalidArgument, NotFound, engine_error
 from tessera.functions.types import coerce, rendered
+from tessera.handle import Handle
 from tessera.plans import ast, queries
 from tessera.plans.parser import parse
 from tessera.session import Database, Executor
@@ -232,3 +233,92 @@ def test_stores_lie_in_the_shared_folder(spark, name):
     files = queries.STORES[name][0](spark, "/root/testdata/sf0.001").inputFiles()
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert files and all(f.removeprefix("file://").startswith(f"{shared}/") for f in files)
+
+
+# -- no row is lost -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("advisory", ["64m", "100k"])
+def test_update_of_large_files_keeps_rows(db, ex, spark, advisory):
+    """Over 100 MB in one file, rewritten under default and tiny partition sizes of the adaptive plan."""
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        ex.execute("CREATE TABLE t (id INT64, pad VARCHAR)")
+        n = 400_000
+        assert db.append("t", spark.range(n).selectExpr("id", "concat(sha2(cast(id as string), 512), sha2(cast(id + 1 as string), 512))")) == n
+        ex.execute("VACUUM t")
+        assert sum(f.bytes for f in db.log.head().tables["t"].files) > 50 << 20
+        assert ex.execute("UPDATE t SET id = 5") == [{"rows_updated": n}]
+        assert ex.execute("SELECT COUNT(*), MIN(id), MAX(id) FROM t") == [{"COUNT(*)": n, "MIN(id)": 5, "MAX(id)": 5}]
+        assert ex.execute("DELETE FROM t WHERE id = 5") == [{"rows_deleted": n}]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+
+
+def test_append_reads_its_source_once(db, ex, spark):
+    """A source that gives other rows each time it runs is counted as it was written."""
+    ex.execute("CREATE TABLE t (v FLOAT64)")
+    rows = spark.range(10_000).selectExpr("rand() v").where("v < 0.5")
+    assert ex.execute("SELECT COUNT(*) FROM t")[0]["COUNT(*)"] == 0
+    n = db.append("t", rows)
+    assert ex.execute("SELECT COUNT(*) FROM t")[0]["COUNT(*)"] == n > 0
+
+
+def test_vacuum_goes_by_bytes(db, ex, spark, monkeypatch):
+    """Files near the size aimed at stay; small ones become as many as their bytes need; an index deals equal keys too."""
+    ex.execute("CREATE TABLE t (id INT64, k INT32, pad VARCHAR)")
+    rows = spark.range(40_000).selectExpr("id", "1", "sha2(cast(id as string), 512)")
+    db.append("t", rows.repartition(8))
+    files = lambda: db.log.head().tables["t"].files
+    total = sum(f.bytes for f in files())
+    monkeypatch.setattr("tessera.session.TARGET", total // 8)
+    ex.execute("VACUUM t")
+    assert len(files()) == 8
+    monkeypatch.setattr("tessera.session.TARGET", total // 3)
+    ex.execute("VACUUM t")
+    assert 3 <= len(files()) <= 4
+    monkeypatch.setattr("tessera.session.TARGET", total // 6)
+    ex.execute("CREATE INDEX t_k ON t (k)")
+    assert 5 <= len(files()) <= 8
+    assert ex.execute("SELECT COUNT(*), MAX(id) FROM t WHERE k = 1") == [{"COUNT(*)": 40_000, "MAX(id)": 39_999}]
+
+
+def test_lease_that_expired_is_refused_at_commit(db, ex, monkeypatch):
+    users(ex)
+    ex.execute("BEGIN")
+    ex.execute("INSERT INTO users VALUES (4, 'Dan', 1.0)")
+    monkeypatch.setattr("tessera.session.LEASE_MS", -1)
+    Executor(db).execute("VACUUM users")
+    with pytest.raises(Conflict):
+        ex.execute("COMMIT")
+    assert len(ex.execute("SELECT * FROM users")) == 3
+
+
+def test_lazy_result_outlives_vacuum(db, ex):
+    users(ex)
+    lazy = ex.query("SELECT id FROM users")
+    ex.execute("DELETE FROM users WHERE id = 1")
+    ex.execute("VACUUM users")
+    assert lazy.count() == 3
+    del lazy
+    assert not db.pins
+
+
+def test_handle_and_result(spark, tmp_path):
+    handle = Handle(str(tmp_path / "db"), spark)
+    assert handle.execute("CREATE TABLE t (id INT32)")[0] == 0
+    handle.execute("INSERT INTO t VALUES (10), (20), (30)")
+    status, r = handle.execute("DELETE FROM t WHERE id < 30")
+    assert (status, r.row_count, r.column_count, r.column_name(0), r.value(0, 0)) == (0, 1, 1, "rows_deleted", "2")
+    assert r.value(1, 0) is None and r.value(0, 1) is None and r.column_name(1) is None and r.value(-1, 0) is None
+    assert handle.execute("SELECT * FROM t WHERE id = 0")[1].row_count == 0
+    assert handle.execute("SELECT nope FROM t") == (1, None) and "nope" in handle.error_message
+    handle.execute("BEGIN")
+    assert handle.execute("COMMIT")[0] == 3
+    handle.close()
+    assert handle.execute("SELECT * FROM t")[0] == 3
+
+
+def test_errors_of_spark_have_a_status():
+    assert [engine_error(e).code for e in (OSError("No space left on device"), OSError("x"), RuntimeError("java.lang.OutOfMemoryError: heap"), RuntimeError("is not a Parquet file"), RuntimeError("?"))] == ["no_space", "io_error", "out_of_memory", "corrupted_data", "fatal"]
