@@ -45,7 +45,7 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_tree.takes(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing_tree.takes(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

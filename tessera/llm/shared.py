@@ -8,8 +8,10 @@ can reach.  Such a table outlives the executor that wrote it; nothing here uses
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,21 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` doesn't have, nor any with a letter added; names that differ in case only clash too."""
+    taken = {c.lower() for c in df.columns}
+    found = (x for k in range(26 * (len(taken) + n) + n) if not any(c.startswith(x := f"_t{k}_") for c in taken))
+    return [next(found) for _ in range(n)]
+
+
+def tidy() -> None:
+    """Give memory that a Python worker has freed back to the system: workers are reused by stages that need less."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def wide(spark: SparkSession) -> int:
     """Number of partitions to deal rows to: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -268,6 +268,65 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing_tree.takes(docs_of(spark, [])).count() == 0 and mixing_tree.mixed(docs_of(spark, [])).count() == 0
 
 
+def shard_words(rows):
+    out = {}
+    for r in rows:
+        for part in filter(None, r.shards.split(",")):
+            shard, words = map(int, part.split(":"))
+            out[shard] = out.get(shard, 0) + words
+    return out
+
+
+def test_mix_is_what_its_shards_take(spark, monkeypatch):
+    """The tree's shards share out what is taken, and another tree gives other shards."""
+    docs = documents(spark)
+    rows = mixing_tree.takes(docs).collect()
+    assert all(sum(int(p.split(":")[1]) for p in r.shards.split(",") if p) == r.taken for r in rows)
+    held = {}
+    for r in mixing_tree.mixed(docs).select("doc_id", "mix_shard").collect():
+        held.setdefault((r.doc_id, r.mix_shard), 0)
+        held[r.doc_id, r.mix_shard] += 1
+    want = {}
+    for r in rows:
+        for part in filter(None, r.shards.split(",")):
+            key = (r.doc_id, int(part.split(":")[0]))
+            want[key] = want.get(key, 0) + 1
+    assert {k: n for k, n in held.items() if k in want or any(x.size for x in rows if x.doc_id == k[0])} == want
+    monkeypatch.setattr(mixing_tree, "split", lambda quotas, shards, seed: np.vstack([quotas, np.zeros((shards - 1, len(quotas)), np.int64)]).astype(np.int64))
+    assert set(shard_words(mixing_tree.takes(docs).collect())) == {0} != set(shard_words(rows))
+
+
+def test_mix_splits_large_edges_and_keeps_clashing_columns(spark, monkeypatch):
+    """Blocks that are too large for a task are split again; equal rows, null ids and columns of any name do no harm."""
+    monkeypatch.setattr(mixing_tree, "EDGE", 64)
+    monkeypatch.setattr(mixing_tree, "MARGIN", 10)
+    monkeypatch.setattr(mixing_tree, "BLOCKS", 2)
+    monkeypatch.setattr(mixing_tree, "MOST_BLOCKS", 2)
+    rows = [(k if k % 7 else None, " ".join(["w"] * (k % 50 + k % 3)), f"s{k % 3}") for k in range(1500)] + [(9, "a b c", "s0")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing_tree.takes(docs).collect()
+    assert len(taken) == len(rows)
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == name) for name in ("s0", "s1", "s2")]
+    for name, size, target in zip(("s0", "s1", "s2"), sizes, mixing_tree.targets(sizes), strict=True):
+        own = [r for r in taken if r.source_size == size]
+        assert abs(own[0].target - target) < 1e-6 and abs(sum(r.taken for r in own) - target) <= 3, name
+    assert all(r.taken <= 2 * r.size for r in taken)
+    odd = docs.withColumns({n: F.lit(n) for n in ("size", "same", "dp", "ds", "db", "fill", "mix_block", "mine", "extra", "_t0_", "_T1_x", "block", "mix_order")})
+    out = mixing_tree.mixed(odd)
+    assert out.columns == [*odd.columns, "mix_shard"] and out.where("size <> 'size' or fill <> 'fill'").count() == 0
+    assert out.select(mixing_tree.size_of().alias("n")).groupBy().sum("n").first()[0] == sum(r.taken for r in taken)
+
+
+def test_tree_splits_quotas_without_replacement():
+    """Over many seeds a shard gets of each source its share of the draws, with the spread of draws without replacement."""
+    quotas = np.array([60, 30, 10])
+    parts = np.array([mixing_tree.split(quotas, 4, seed) for seed in range(400)])
+    assert (parts.sum(1) == quotas).all() and (parts.sum(2) == 25).all()
+    assert np.allclose(parts.mean(0), np.tile(quotas / 4, (4, 1)), atol=0.6)
+    want = 25 * (quotas / 100) * (1 - quotas / 100) * (75 / 99)
+    assert np.allclose(parts.var(0).mean(0), want, rtol=0.2)
+
+
 # -- 5 and 8 tokens ------------------------------------------------------------------------------
 
 
