@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import forget, wide, written
+from .shared import forget, tidy, wide, written
 
 #: Dimensions of the projection, bits of each, and the seed of the projection.
 DIMS, DEPTH, SEED = 4, 8, 11
@@ -88,6 +88,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "word
                     [b.column(0).slice(at, len(lengths)), pa.array(keys), pa.array(lengths + 1), blob.cast(pa.binary())],
                     names=["doc_id", "key", "n", "ids"],
                 )
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, n long, ids binary")
 
