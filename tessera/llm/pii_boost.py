@@ -3,12 +3,14 @@
 Patterns of the fixed base kinds give spans that always stay.  High-recall generators propose
 further, overlapping spans: long tokens, values (quoted or not) after a word such as ``password``, numbers with
 separators, and codes in groups.  Boosted trees score every candidate by its format and the characters
-before it; selected candidates that overlap are one span, of the kind that scored highest.  The trees were grown on a labelled table that ``examples`` builds from a rule, and the
-threshold that selects redactions was calibrated on the half of it that they did not
+before it, and others tell secrets from identifiers; selected candidates that overlap are one span, of the kind of the one that scored highest.  The trees were
+grown on a labelled table that ``examples`` builds from a rule, and the
+threshold of each kind, which selects redactions, was calibrated on the half of it that they did not
 see.  The trees reach the executors as expressions, so the texts never leave the JVM.
 
 Patterns are written so that they take linear time: a match can only begin where a
-run of its characters begins or where the last match ended, and loops give nothing back.
+run of its characters begins or where the last match ended, and loops give nothing back.  Places, overlaps and
+replacements go through the matches once, in order (``gathered``), so a text with many of them takes time in proportion.
 
 Defined results: a null text is an empty text; no spans give empty strings and the hash
 of the empty string; repeated rows are scanned each; an empty table gives no rows; further columns are
@@ -25,6 +27,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 #: Base kinds in their order and their patterns.
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BASE = {
@@ -56,8 +60,10 @@ GENERATORS = {
 }
 #: What a text must hold for a generator to find anything in it.
 NEEDED = {"secret_value": f"(?i){SECRET}", "quoted": f"(?i){SECRET}", "id_value": f"(?i){ID}", "number": "[0-9]", "triple": "[0-9]", "groups": "[0-9]"}
-SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,text:string>>"
-CANDIDATES = "array<struct<start:int,end:int,text:string,before:string>>"
+SPAN = "struct<start:int,kind_no:int,end:int,kind:string,text:string>"
+CANDIDATE = "struct<start:int,end:int,text:string,before:string>"
+#: Elements that an array grows by, and code points of a block that pieces of a text are cut from.
+GROW, BLOCK = 64, 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -65,44 +71,78 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str, kind: str, number: int) -> Column:
-    """All matches of a pattern with their places in code points (end exclusive)."""
+def gathered(items: Column, state: Column, kind: str, step) -> Column:
+    """A struct of the last ``state`` and ``outs``: ``step(state, item)`` gives a struct of the next ``state`` and an ``out`` of type ``kind``.
+
+    An array is copied when it grows, so results are gathered in short arrays that are put together at the end.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        return _let(step(acc["state"], item), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    def over(whole: Column) -> Column:
+        def part(acc: Column, k: Column) -> Column:
+            zero = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("outs"))
+            more = lambda x: F.struct(x["state"].alias("state"), F.concat(acc["parts"], F.array(x["outs"])).alias("parts"))
+            return F.aggregate(F.slice(whole, k * GROW + 1, F.lit(GROW)), zero, one, more)
+
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+        parts = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / GROW).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(parts, zero, part, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["parts"]).alias("outs")))
+
+    return _let(items, over)
+
+
+def _told(state: Column, out: Column) -> Column:
+    return F.struct(state.alias("state"), out.alias("out"))
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks, from which ``piece`` cuts without going through what stands before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, length: Column) -> Column:
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + F.greatest(length, F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, length)
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """Matches of a pattern, each with the gap before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    return _let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))))
 
-    def place(pairs: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["gap"])
-            end = start + F.length(pair["hit"])
-            one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("text"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-        return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+def matches(text: Column, pattern: str, kind: str, number: int) -> Column:
+    """All matches of a pattern with their places in code points (end exclusive)."""
 
-    pairs = _let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))))
-    return place(pairs)
+    def step(at: Column, pair: Column) -> Column:
+        start = at + F.length(pair["gap"])
+        end = start + F.length(pair["hit"])
+        one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("text"))
+        return _told(end, one)
+
+    return gathered(_pairs(text, pattern), F.lit(0), SPAN, step)["outs"]
 
 
 def candidates(text: Column, pattern: str) -> Column:
     """All matches of a generator with their places and the characters before them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(CANDIDATES).alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
 
         def with_before(before: Column) -> Column:
             one = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"), before.alias("before"))
             tail = F.substring(F.concat(before, pair["hit"]), -CONTEXT, CONTEXT)
-            return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+            return _told(F.struct(end.alias("at"), tail.alias("tail")), one)
 
-        return _let(F.substring(F.concat(acc["tail"], pair["gap"]), -CONTEXT, CONTEXT), with_before)
+        return _let(F.substring(F.concat(state["tail"], pair["gap"]), -CONTEXT, CONTEXT), with_before)
 
-    pairs = _let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    return gathered(_pairs(text, pattern), zero, CANDIDATE, step)["outs"]
 
 
 def digits(x: Column) -> Column:
@@ -149,8 +189,8 @@ def base_spans(text: Column) -> Column:
     each = []
     for k, (kind, pattern) in enumerate(BASE.items()):
         own = F.filter(matches(text, pattern, kind, k), _validity(kind))
-        each.append(F.when(cheap.get(kind, some), own).otherwise(F.array().cast(SPAN)))
-    return F.array_sort(F.concat(*each))
+        each.append(F.when(cheap.get(kind, some), own).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return F.sort_array(F.concat(*each))
 
 
 #: Features of a candidate, in the order of the trees' feature numbers.
@@ -158,8 +198,8 @@ FEATURES = ("length", "digit_share", "upper_share", "lower_share", "mark_share",
 #: Forms that stand for themselves: access key ids and the like; number forms of identity codes.
 KNOWN_FORM = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk[_-][A-Za-z0-9_-]{16,}$|^eyJ[A-Za-z0-9_-]{10,}$"
 NUMBER_FORM = r"^[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}$|^[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}$"
-#: A value that is assigned to what stands before it, and characters whose variety is counted at once.
-ASSIGNED, CHUNK = r"[=:][\"'\s]*$", 1 << 20
+#: A value that is assigned to what stands before it.
+ASSIGNED = r"[=:][\"'\s]*$"
 
 
 def features_of(text: str, before: str) -> list[float]:
@@ -178,9 +218,7 @@ def feature_columns(text: Column, before: Column) -> list[Column]:
     n = F.length(text)
     share = lambda p: F.length(F.regexp_replace(text, p, "")) / n
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    pieces = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
-    letters = lambda k: F.array_distinct(F.regexp_extract_all(F.substring(text, k * CHUNK + 1, F.lit(CHUNK)), F.lit("(?s)."), F.lit(0)))
-    distinct = F.size(F.array_distinct(F.flatten(F.transform(pieces, letters))))
+    distinct = F.size(F.array_distinct(F.split(text, "", -1)))
     return [
         n.cast("double"), share("[^0-9]"), share("[^A-Z]"), share("[^a-z]"), share("[A-Za-z0-9]"),
         distinct / n,
@@ -190,7 +228,7 @@ def feature_columns(text: Column, before: Column) -> list[Column]:
 
 
 def examples(seed: int = 3) -> list[tuple[list[float], int]]:
-    """Labelled candidates: secrets and identity codes with and without context, and things that look alike."""
+    """Labelled candidates (1 a secret, 2 an identifier, 0 neither): secrets and identity codes with and without context, and things that look alike."""
     rng = random.Random(seed)
     pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -206,11 +244,11 @@ def examples(seed: int = 3) -> list[tuple[list[float], int]]:
             (pick(low + up + dig, rng.randint(10, 40)) + "7", secret, 1),
             (pick(low + up + dig + "_-", rng.randint(24, 48)) + "Q4", plain, 1),
             ("AKIA" + pick(up + dig, 16), plain, 1),
-            (pick("0123456789abcdef", 40), plain, 1),
-            (f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}", ident, 1),
-            (f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}", plain, 1),
-            (pick(up, 2) + pick(dig, 2) + pick(dig, 18), ident, 1),
-            (pick(up, 1) + pick(dig, 8), ident, 1),
+            (pick(rng.choice(["0123456789abcdef", "0123456789ABCDEF"]), rng.randint(32, 64)), plain, 1),
+            (f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}", ident, 2),
+            (f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}", plain, 2),
+            (pick(up, 2) + pick(dig, 2) + pick(dig, 18), ident, 2),
+            (pick(up, 1) + pick(dig, 8), ident, 2),
             (word() + word(), plain, 0),
             (word() + "-" + word(), plain, 0),
             ((word() + word() + word())[:20].capitalize() + "xyz", plain, 0),
@@ -227,10 +265,10 @@ def examples(seed: int = 3) -> list[tuple[list[float], int]]:
             (pick(low + up, rng.randint(3, 8)) + pick("!@#$%&*.?", rng.randint(1, 3)) + pick(low + up + dig, rng.randint(2, 12)), secret, 1),
             (pick(low + up, 4) + pick(" ,;", 1) + pick(low + up + dig, rng.randint(4, 9)) + pick(dig, 2), secret.rstrip("\"'") + '"', 1),
             # numbers and codes in groups
-            (f"{pick(dig, 3)} {pick(dig, 2)} {pick(dig, 4)}", ident, 1),
-            (pick(up, 2) + pick(dig, 2) + "".join(" " + pick(rng.choice([up, dig, dig, dig]), 4) for _ in range(rng.randint(3, 6))) + " " + pick(dig, 2), rng.choice([ident, plain]), 1),
-            (pick(up, rng.randint(0, 2)) + pick(dig, rng.randint(6, 12)), ident, 1),
-            ("-".join(pick(dig, rng.randint(2, 4)) for _ in range(3)), ident, 1),
+            (f"{pick(dig, 3)} {pick(dig, 2)} {pick(dig, 4)}", ident, 2),
+            (pick(up, 2) + pick(dig, 2) + "".join(" " + pick(rng.choice([up, dig, dig, dig]), 4) for _ in range(rng.randint(3, 6))) + " " + pick(dig, 2), rng.choice([ident, plain]), 2),
+            (pick(up, rng.randint(0, 2)) + pick(dig, rng.randint(6, 12)), ident, 2),
+            ("-".join(pick(dig, rng.randint(2, 4)) for _ in range(3)), ident, 2),
             # keys on one line
             (pick(low + up + dig + "/+", rng.randint(600, 3000)), rng.choice([secret, plain]), 1),
             (pick("0123456789abcdef", rng.randint(128, 2048)), rng.choice([secret, plain]), 1),
@@ -294,31 +332,56 @@ def evaluate(tree, row: list[float]) -> float:
     return tree
 
 
-@cache
-def boosted(rounds: int = 25, depth: int = 3, rate: float = 0.5) -> tuple[list, float]:
-    """The trees, and the calibrated threshold of their summed scores.
-
-    Trees are grown on every other example.  The threshold is the smallest score at which the
-    other half keeps a precision of 0.99.
-    """
-    data = examples()
-    own, rest = data[::2], data[1::2]
-    rows, y = [r for r, _ in own], [label for _, label in own]
+def grown(rows: list[list[float]], y: list[int], rounds: int, depth: int = 3, rate: float = 0.5) -> list:
+    """Trees by gradient boosting of the logistic loss, each with its rate."""
     score = [0.0] * len(rows)
     trees = []
     for _ in range(rounds):
         p = [1 / (1 + math.exp(-s)) for s in score]
         tree = _tree(rows, [a - b for a, b in zip(y, p, strict=True)], [q * (1 - q) for q in p], range(len(rows)), depth)
-        trees.append(tree)
+        trees.append((rate, tree))
         score = [s + rate * evaluate(tree, r) for s, r in zip(score, rows, strict=True)]
-    seen = sorted(((sum(rate * evaluate(t, r) for t in trees), label) for r, label in rest), reverse=True)
+    return trees
+
+
+def summed(trees: list, row: list[float]) -> float:
+    return sum(rate * evaluate(t, row) for rate, t in trees)
+
+
+def least_score(seen: list[tuple[float, bool]], precision: float = 0.99) -> float:
+    """The smallest score at which the precision holds, half-way to the next score below."""
+    seen = sorted(seen, reverse=True)
     threshold, hits = 0.0, 0
     for n, (s, label) in enumerate(seen, 1):
         hits += label
-        last_of_score = n == len(seen) or seen[n][0] < s
-        if last_of_score and hits / n >= 0.99:
-            threshold = s
-    return [(rate, t) for t in trees], threshold
+        if n == len(seen) or seen[n][0] < s:
+            if hits / n >= precision:
+                threshold = (s + seen[n][0]) / 2 if n < len(seen) else s
+    return threshold
+
+
+@cache
+def boosted(rounds: int = 25) -> tuple[list, float]:
+    """The trees that select redactions, grown on every other example, and the threshold calibrated on the rest of them."""
+    data = examples()
+    own, rest = data[::2], data[1::2]
+    trees = grown([r for r, _ in own], [int(y > 0) for _, y in own], rounds)
+    return trees, least_score([(summed(trees, r), y > 0) for r, y in rest])
+
+
+@cache
+def kinds(rounds: int = 6) -> list:
+    """Trees whose score is over 0 for an identifier and not for a secret, grown on the examples that are either."""
+    own = [(r, y) for r, y in examples()[::2] if y]
+    return grown([r for r, _ in own], [int(y == 2) for _, y in own], rounds)
+
+
+@cache
+def calibrated() -> dict[str, float]:
+    """The threshold of each kind: that of the other half's examples that the trees take for this kind."""
+    trees, rest = boosted()[0], examples()[1::2]
+    is_id = [summed(kinds(), r) > 0 for r, _ in rest]
+    return {kind: least_score([(summed(trees, r), y > 0) for (r, y), on in zip(rest, is_id, strict=True) if on == (kind == "id")]) for kind in ADDED}
 
 
 def _tree_column(tree, features: list[Column]) -> Column:
@@ -328,49 +391,84 @@ def _tree_column(tree, features: list[Column]) -> Column:
     return F.when(features[k] <= bound, _tree_column(low, features)).otherwise(_tree_column(high, features))
 
 
-def score_column(values: Column) -> Column:
-    """Summed score of the trees for an array of features."""
+def score_column(values: Column, trees: list | None = None) -> Column:
+    """Summed score of the trees (those that select redactions, if none are given) for an array of features."""
     features = [F.get(values, F.lit(k)) for k in range(len(FEATURES))]
     total = F.lit(0.0)
-    for rate, tree in boosted()[0]:
+    for rate, tree in boosted()[0] if trees is None else trees:
         total = total + rate * _tree_column(tree, features)
     return total
 
 
+def _free(proposed: Column, base: Column) -> Column:
+    """The different candidates that no base span overlaps, in order; both lists are gone through once in either direction."""
+    event = "struct<start:int,last:int,end:int,text:string,before:string,on:boolean>"
+    as_event = lambda s, last, text, before: F.struct(s["start"].alias("start"), F.lit(last).alias("last"), s["end"].alias("end"), text.alias("text"), before.alias("before"))
+    events = F.sort_array(F.concat(F.transform(base, lambda s: as_event(s, 0, F.lit(""), F.lit(""))), F.transform(proposed, lambda s: as_event(s, 1, s["text"], s["before"]))))
+    kept = lambda s, on: F.struct(*[s[n].alias(n) for n in ("start", "last", "end", "text", "before")], on.alias("on"))
+
+    def forward(state: Column, s: Column) -> Column:  # state: end of the base spans so far, and the last candidate
+        is_base = s["last"] == 0
+        on = (s["start"] >= state["covered"]) & ((s["start"] != state["start"]) | (s["end"] != state["end"]))
+        after = F.struct(
+            F.when(is_base, F.greatest(state["covered"], s["end"])).otherwise(state["covered"]).alias("covered"),
+            F.when(is_base, state["start"]).otherwise(s["start"]).alias("start"), F.when(is_base, state["end"]).otherwise(s["end"]).alias("end"),
+        )
+        return _told(after, kept(s, F.when(is_base, F.lit(False)).otherwise(on)))
+
+    def backward(state: Column, s: Column) -> Column:  # state: start of the base span that follows
+        return _told(F.when(s["last"] == 0, s["start"]).otherwise(state), kept(s, s["on"] & (s["end"] <= state)))
+
+    zero = F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    there = gathered(events, zero, event, forward)["outs"]
+    back = gathered(F.reverse(there), F.lit((1 << 31) - 1), event, backward)["outs"]
+    return F.reverse(F.filter(back, lambda s: s["on"]))
+
+
 def added_spans(text: Column, base: Column) -> Column:
     """Spans that the trees select among all candidates and that no base span overlaps; those that overlap are joined."""
-    threshold = boosted()[1]
+    least = calibrated()
     some = []
     for name, pattern in GENERATORS.items():
         own = candidates(text, pattern)
-        some.append(F.when(text.rlike(NEEDED[name]), own).otherwise(F.array().cast(CANDIDATES)) if name in NEEDED else own)
+        some.append(F.when(text.rlike(NEEDED[name]), own).otherwise(F.array().cast(f"array<{CANDIDATE}>")) if name in NEEDED else own)
 
     def scored(s: Column) -> Column:
-        score = _let(F.array(*feature_columns(s["text"], s["before"])), score_column)
-        ident = s["text"].rlike(NUMBER_FORM) | s["before"].rlike(ID_WORDS)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), score.alias("score"), ident.alias("ident"))
+        def both(values: Column) -> Column:
+            ident = score_column(values, kinds()) > 0
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), score_column(values).alias("score"), ident.alias("ident"))
 
-    def free(s: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return _let(F.array(*feature_columns(s["text"], s["before"])), both)
 
-    each = F.array_distinct(F.filter(F.concat(*some), free))
-    chosen = F.array_sort(F.filter(F.transform(each, scored), lambda s: s["score"] >= threshold))
-    zero = F.array().cast("array<struct<start:int,end:int,score:double,ident:boolean>>")
+    high = lambda s: s["score"] >= F.when(s["ident"], F.lit(least["id"])).otherwise(F.lit(least["secret"]))
+    chosen = F.filter(F.transform(_free(F.concat(*some), base), scored), high)
+    group = "struct<start:int,end:int,score:double,ident:boolean>"
+    zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0.0).alias("score"), F.lit(False).alias("ident"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+    def step(last: Column, s: Column) -> Column:
         ident = F.when(s["score"] > last["score"], s["ident"]).otherwise(last["ident"])
         both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.greatest(last["score"], s["score"]).alias("score"), ident.alias("ident"))
-        meets = (F.size(acc) > 0) & (s["start"] < last["end"])
-        return F.when(meets, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(s)))
+        meets = s["start"] < last["end"]
+        return _told(F.when(meets, both).otherwise(s), F.when(~meets & (last["start"] >= 0), last))
+
+    def ended(all_: Column) -> Column:
+        whole = F.filter(all_["outs"], lambda s: s.isNotNull())
+        return F.when(all_["state"]["start"] >= 0, F.concat(whole, F.array(all_["state"]))).otherwise(whole)
+
+    joined = _let(gathered(chosen, zero, group, step), ended)
 
-    def named(s: Column) -> Column:
-        kind = F.when(s["ident"], F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
-        number = F.when(s["ident"], F.lit(len(BASE) + 1)).otherwise(F.lit(len(BASE)))
-        own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(s["start"].alias("start"), number.alias("kind_no"), s["end"].alias("end"), kind.alias("kind"), own.alias("text"))
+    def named(spans: Column) -> Column:
+        def one(blocks: Column) -> Column:
+            def span(s: Column) -> Column:
+                kind = F.when(s["ident"], F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
+                number = F.when(s["ident"], F.lit(len(BASE) + 1)).otherwise(F.lit(len(BASE)))
+                return F.struct(s["start"].alias("start"), number.alias("kind_no"), s["end"].alias("end"), kind.alias("kind"), piece(blocks, s["start"], s["end"] - s["start"]).alias("text"))
 
-    return F.transform(F.aggregate(chosen, zero, step), named)
+            return F.transform(spans, span)
+
+        return F.when(F.size(spans) > 0, _let(blocks_of(text), one)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return _let(joined, named)
 
 
 def _joined(spans: Column) -> Column:
@@ -378,11 +476,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``pii_base`` and ``pii_spans``, arrays of spans of the whole ``text``."""
+def _with_spans(docs: DataFrame, base: str, spans: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("pii_base", base_spans(text))
-    return rows.withColumn("pii_spans", F.array_sort(F.concat("pii_base", added_spans(text, F.col("pii_base")))))
+    rows = docs.withColumn(base, base_spans(text))
+    return rows.withColumn(spans, F.sort_array(F.concat(base, added_spans(text, F.col(base)))))
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
+    """``text`` of ``docs`` with ``pii_base`` and ``pii_spans``, arrays of spans of the whole text, and all columns of other names."""
+    return _with_spans(docs.drop("pii_base", "pii_spans"), "pii_base", "pii_spans")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -394,18 +496,21 @@ def found(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with each span of ``text`` replaced by its kind in square brackets; ``n_chars`` follows."""
+    base, spans = free_names(docs, 2)
     text = F.coalesce("text", F.lit(""))
-    rows = spans_of(docs)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    rows = _with_spans(docs, base, spans)
+
+    def clean(blocks: Column) -> Column:
+        def step(at: Column, s: Column) -> Column:
+            # a span that begins inside the one before only lengthens it
+            lead = piece(blocks, at, s["start"] - at)
+            out = F.when(s["start"] < at, F.lit("")).otherwise(F.concat(lead, F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return _told(F.greatest(at, s["end"]), out)
 
-    def step(acc: Column, s: Column) -> Column:
-        # a span that begins inside the one before only lengthens it
-        lead = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(lead, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("parts"))
+        rest = lambda x: F.concat(F.array_join(x["outs"], ""), piece(blocks, x["state"], F.length(text) - x["state"]))
+        return _let(gathered(F.col(spans), F.lit(0), "string", step), rest)
 
-    clean = F.aggregate("pii_spans", zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = rows.withColumn("text", F.when(F.size("pii_spans") > 0, clean).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(F.size(spans) > 0, _let(blocks_of(text), clean)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
