@@ -3,8 +3,10 @@
 A page is read once, tag by tag, into flat text blocks: the text between two
 block-level tags.  A block knows its number of words, its link density (share of words
 inside links), those of the block before and after it, and what its open elements are for.
-A decision tree, grown on the small labelled table ``EXAMPLES``, calls each block text or
-boilerplate.  Text blocks are joined in page order.
+A decision tree calls each block text or boilerplate; text blocks are joined in page order.  It is grown on a
+labelled table of some two thousand blocks, which ``labelled`` reads off pages that a rule builds: with and without
+elements and words that tell what is the article and what is furniture, with paragraphs and boilerplate of many sizes.
+Where nothing tells them apart, sizes and link densities of a block and its neighbours decide.
 
 Defined results: a null or empty page has an empty text; a page that breaks off
 inside a tag loses that tag alone; unclosed elements end with their parent; text in
@@ -15,9 +17,12 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ BLOCK = frozenset(
     "summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 #: Elements whose content is not text of the page.
-OPAQUE = frozenset("head iframe math noscript object script select style svg template textarea title".split())
+OPAQUE = frozenset("head iframe script select style svg template textarea title".split())
 #: Elements whose content the parser takes as raw text up to the end tag.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 #: Elements that never have content.
@@ -48,6 +53,8 @@ CONTENT_WORDS = frozenset("article articlebody body content entry main post stor
 #: A tag's marks: by words that only describe a layout, by other words, and by what nothing inside takes back.
 LAYOUT, WORDED, LASTING = 1, 2, 3
 LAYOUT_WORDS = frozenset("ad ads header menu nav navbar share sharing sidebar social toolbar widget".split())
+#: Words that describe an article's part as often as furniture, if an article's word comes last or stands alone beside them.
+DESCRIBING = LAYOUT_WORDS | {"search"}
 #: Words for texts beside the article, whatever elements they use, and words of an article's own header.
 OTHERS = frozenset("comment comments disqus related replies reply respond".split())
 HEADED = frozenset("article entry post story".split())
@@ -79,9 +86,12 @@ def _mark(tag: str, value: str, in_content: bool) -> int:
     """How strongly the words of an attribute mark an element as page furniture."""
     mark = 0
     tokens = value.split()
+    of_article = in_content and any((_PART.findall(t) or [""])[-1] in CONTENT_WORDS for t in tokens)
     for token in tokens:
         parts = set(_PART.findall(token))
         found = parts & FURNITURE_WORDS
+        if of_article and token not in FURNITURE_WORDS and found <= DESCRIBING:
+            continue
         if found == {"header"} and (in_content or parts & HEADED):
             continue  # an article's own header
         if not found or tag in CONTENT and token not in FURNITURE_WORDS:
@@ -114,6 +124,8 @@ def _purpose(tag: str, attributes: str, in_content: bool) -> tuple[int, bool, bo
                 headed |= "header" in parts and bool(parts & HEADED) and not own
     if tag == "header" and not headed:
         mark = LASTING
+    if tag == "noscript" and not in_content:
+        mark = max(mark, WORDED)
     return mark, content, unseen
 
 
@@ -190,85 +202,109 @@ def blocks(page: str) -> list[Block]:
 #: Names of the tree's features, in the order of the labelled table's columns.
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "content", "heading", "page_has_content")
 
-#: The labelled table: features as named above, then 1 for text and 0 for boilerplate.
-EXAMPLES = """
-1 1.0 0 0.0 1 1.0 1 0 0 1 0
-2 1.0 1 1.0 1 1.0 1 0 0 1 0
-7 0.0 1 1.0 9 0.0 1 0 0 1 0
-9 0.0 7 0.0 60 0.0 0 1 1 1 1
-60 0.0 9 0.0 45 0.0 0 1 0 1 1
-45 0.0 60 0.0 3 0.0 0 1 0 1 1
-3 0.0 45 0.0 80 0.0 0 1 0 1 1
-1 0.0 80 0.0 30 0.0 0 1 0 1 1
-80 0.1 3 0.0 9 0.0 0 1 0 1 1
-9 0.1 80 0.1 0 0.0 1 0 0 1 0
-12 0.5 60 0.0 40 0.0 0 1 0 1 1
-6 1.0 50 0.0 55 0.0 0 1 0 1 1
-4 1.0 6 1.0 5 1.0 1 1 0 1 0
-30 0.0 45 0.0 25 0.0 1 1 0 1 0
-70 0.0 30 0.0 20 0.0 1 1 0 1 0
-18 0.0 4 0.0 22 0.0 1 0 0 1 0
-90 0.0 12 0.0 60 0.0 1 0 0 1 0
-5 0.0 0 0.0 14 0.0 0 0 0 1 0
-40 0.0 10 0.0 50 0.0 0 0 0 1 0
-14 0.2 90 0.0 8 0.0 0 0 0 1 0
-2 1.0 2 1.0 2 1.0 0 0 0 0 0
-3 1.0 2 1.0 40 0.0 0 0 0 0 0
-8 0.6 3 1.0 4 1.0 0 0 0 0 0
-11 0.7 5 0.0 6 0.8 0 0 0 0 0
-55 0.0 6 0.0 70 0.0 0 0 0 0 1
-70 0.1 55 0.0 40 0.0 0 0 0 0 1
-40 0.0 70 0.1 12 0.0 0 0 0 0 1
-12 0.0 40 0.0 65 0.0 0 0 0 0 1
-20 0.3 60 0.0 60 0.0 0 0 0 0 1
-6 0.0 2 1.0 55 0.0 0 0 1 0 1
-8 0.0 40 0.0 60 0.0 0 0 1 0 1
-4 0.0 3 1.0 2 1.0 0 0 1 0 0
-5 0.0 2 1.0 3 1.0 0 0 0 0 0
-9 0.0 45 0.0 2 1.0 0 0 0 0 0
-65 0.0 8 0.0 30 0.0 1 0 0 0 0
-25 0.0 65 0.0 4 0.0 1 0 0 0 0
-6 0.0 4 0.0 7 0.0 1 0 0 0 0
-15 0.0 50 0.0 18 0.0 0 0 0 0 1
-18 0.0 15 0.0 0 0.0 0 0 0 0 1
-30 0.9 40 0.0 4 1.0 0 0 0 0 0
-2 0.0 0 0.0 0 0.0 0 0 0 0 1
-50 0.0 0 0.0 0 0.0 0 0 0 0 1
-"""
 
 
-def grow(rows: list[list[float]], depth: int = 8):
+#: Words of the labelled pages.
+_VOCABULARY = "the of river stone market paper winter north garden letter city boat house early long under between and with from seven open road light".split()
+
+
+def _page(rng: random.Random, kind: int) -> tuple[str, dict[str, int]]:
+    """A page and the labels of its blocks' texts: with marked article and furniture (0), a marked article (1), marked furniture (2) or no marks (3)."""
+    labels: dict[str, int] = {}
+
+    def text(n: int, label: int) -> str:
+        words = [rng.choice(_VOCABULARY) for _ in range(max(0, n - 1))]
+        out = " ".join([f"x{len(labels)}q", *words])
+        labels[out] = label
+        return out
+
+    def linked(n: int, share: float, label: int) -> str:
+        """A text of which a share of the words is in a link."""
+        words = text(n, label).split()
+        k = round(share * len(words))
+        return f"<a href=#>{' '.join(words[:k])}</a> {' '.join(words[k:])}" if k else " ".join(words)
+
+    items = lambda n: "".join(f"<li>{linked(rng.randint(1, 6), 1.0, 0)}</li>" for _ in range(n))
+    marked = kind in (0, 2)
+
+    def furniture(tag: str, word: str, inner: str) -> str:
+        """Furniture in an element or a class that says so, or in a plain one."""
+        if not marked:
+            return f"<div>{inner}</div>"
+        return rng.choice([f"<{tag}>{inner}</{tag}>", f"<div class='{word}'>{inner}</div>"])
+
+    long = lambda: rng.choice([rng.randint(14, 40), rng.randint(30, 90), rng.randint(60, 160)])
+    any_size = lambda: rng.choice([rng.randint(1, 4), rng.randint(3, 14), long(), long()])
+    in_article = kind in (0, 1)
+    parts = [f"<h1>{text(rng.randint(2, 12), 1)}</h1>"]
+    if in_article and rng.random() < 0.4:
+        parts.append(f"<p>{text(rng.randint(1, 8), 1)}</p>")
+    for k in range(rng.randint(1, 7)):
+        if k and rng.random() < 0.2:
+            parts.append(f"<h2>{text(rng.randint(1, 8), 1)}</h2>")
+        share = rng.choice([0, 0, 0, 0.1, 0.25]) if not in_article else rng.choice([0, 0, 0.1, 0.3, 1.0])
+        parts.append(f"<p>{linked(any_size() if in_article else long(), share, 1)}</p>")
+        if in_article and rng.random() < 0.15:
+            parts.append(f"<aside>{linked(any_size(), rng.choice([0, 1.0]), 0)}</aside>" if rng.random() < 0.5 else f"<div class=share>{linked(rng.randint(1, 9), 1.0, 0)}</div>")
+    if in_article and rng.random() < 0.3:
+        parts.append("<ul>" + "".join(f"<li>{linked(rng.randint(1, 20), rng.choice([0, 0, 1.0]), 1)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+    article = "".join(parts)
+    if in_article:
+        open_, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='entry-content'>", "</div>"), ("<div id=content>", "</div>")])
+        article = f"{open_}{article}{close}"
+    top = [furniture("nav", "menu", f"<ul>{items(rng.randint(2, 7))}</ul>")]
+    if rng.random() < 0.6:
+        top.insert(rng.randint(0, 1), furniture("header", "masthead", f"<div>{text(rng.randint(1, 6), 0)}</div>"))
+    if marked and rng.random() < 0.4:
+        top.append(furniture("dialog", "cookie-notice", f"<p>{text(any_size(), 0)}</p><button>{text(1, 0)}</button>"))
+    end = [furniture("footer", "footer", f"<p>{linked(rng.randint(3, 11), rng.choice([0, 0.3, 1.0]), 0)}</p><p>{linked(rng.randint(1, 6), 1.0, 0)}</p>")]
+    if rng.random() < 0.6:
+        end.insert(0, furniture("aside", "sidebar", f"<ul>{items(rng.randint(2, 6))}</ul>"))
+    if marked and rng.random() < 0.5:
+        end.insert(0, furniture("aside", "comments", "".join(f"<p>{text(any_size(), 0)}</p>" for _ in range(rng.randint(1, 4)))))
+    if kind == 1 and rng.random() < 0.5:  # texts of any size beside a marked article
+        end.insert(0, "".join(f"<div>{text(any_size(), 0)}</div>" for _ in range(rng.randint(1, 3))))
+    return f"<html><body>{''.join(top)}{article}{''.join(end)}</body></html>", labels
+
+
+def labelled(seed: int = 4, pages: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: features of blocks, and 1 for text or 0 for boilerplate."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for k in range(pages):
+        page, known = _page(rng, k % 4)
+        found = blocks(page)
+        rows += features_of(found)
+        labels += [known[b.text] for b in found]
+    return np.array(rows, float), np.array(labels)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12):
     """A binary decision tree by Gini impurity: ``(feature, bound, below, above)`` or a label."""
-    ones = sum(r[-1] for r in rows)
-    majority = int(2 * ones >= len(rows))
-    if depth == 0 or ones in (0, len(rows)):
-        return majority
+    n, ones = len(y), int(y.sum())
+    if depth == 0 or ones in (0, n):
+        return int(2 * ones >= n)
     best = None
-    for k in range(len(rows[0]) - 1):
-        values = sorted({r[k] for r in rows})
-        for a, b in zip(values, values[1:], strict=False):
-            bound = (a + b) / 2
-            sides = [[r for r in rows if (r[k] <= bound) == low] for low in (True, False)]
-            impurity = sum(len(s) * (q := sum(r[-1] for r in s) / len(s)) * (1 - q) for s in sides)
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, k, bound, sides)
+    for k in range(x.shape[1]):
+        order = np.argsort(x[:, k], kind="stable")
+        values, left = x[order, k], np.cumsum(y[order])[:-1]
+        at = np.arange(1, n)
+        impurity = left - left**2 / at + (ones - left) - (ones - left) ** 2 / (n - at)
+        impurity[values[1:] == values[:-1]] = np.inf
+        cut = int(impurity.argmin())
+        if np.isfinite(impurity[cut]) and (best is None or impurity[cut] < best[0] - 1e-9):
+            best = (impurity[cut], k, float(values[cut] + values[cut + 1]) / 2)
     if best is None:
-        return majority
-    return best[1], best[2], grow(best[3][0], depth - 1), grow(best[3][1], depth - 1)
-
-
-#: Sizes that a labelled block inside or outside an article stands for: there its size says nothing.
-SPREAD = (1, 2, 3, 5, 9, 15, 30, 60, 120)
-
+        return int(2 * ones >= n)
+    _, k, bound = best
+    low = x[:, k] <= bound
+    return k, bound, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
-def examples() -> list[list[float]]:
-    """The labelled table; where a page has an article, each row stands for blocks of all sizes."""
-    rows = [[float(x) for x in line.split()] for line in EXAMPLES.strip().splitlines()]
-    wide_rows = [[float(n), *r[1:]] for r in rows if r[FEATURES.index("page_has_content")] for n in SPREAD]
-    return rows + wide_rows
 
-
-TREE = grow(examples())
+@cache
+def tree():
+    """The tree; each worker grows it once, the same everywhere."""
+    return grow(*labelled())
 
 
 def decide(tree, row) -> int:
@@ -278,22 +314,21 @@ def decide(tree, row) -> int:
     return tree
 
 
+def features_of(found: list[Block]) -> list[tuple]:
+    """The features of a page's blocks, as ``FEATURES`` names them."""
+    has_content = any(b.content and not b.furniture for b in found)
+    none = Block("", 0, 0, False, False, False)
+    rows = []
+    for before, b, after in zip([none, *found], found, [*found[1:], none], strict=False):
+        rows.append((b.words, b.density, before.words, before.density, after.words, after.density, b.furniture, b.content, b.heading, has_content))
+    return rows
+
+
 def main_text(page: str | None) -> str:
     """The page's text blocks that the tree calls text, one to a line."""
     found = blocks(page or "")
-    has_content = any(b.content and not b.furniture for b in found)
-    kept = []
-    for k, b in enumerate(found):
-        before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        row = (
-            b.words, b.density,
-            before.words if before else 0, before.density if before else 0,
-            after.words if after else 0, after.density if after else 0,
-            b.furniture, b.content, b.heading, has_content,
-        )
-        if decide(TREE, row):
-            kept.append(b.text)
-    return "\n".join(kept)
+    grown = tree()
+    return "\n".join(b.text for b, row in zip(found, features_of(found), strict=True) if decide(grown, row))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

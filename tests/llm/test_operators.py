@@ -649,3 +649,39 @@ def test_pii_candidates_that_overlap(spark):
         assert all(r.text[s.start : s.end] == s.text for s in r.pii_spans)
     odd = spark.createDataFrame([(1, "me@x.org", "p")], "doc_id long, text string, pii_spans string")
     assert pii_boost.redacted(odd).first().asDict() == {"doc_id": 1, "text": "[EMAIL]", "pii_spans": "p"}
+
+
+def test_html_tree_learns_from_sizes_and_neighbours():
+    """The tree asks for words and neighbours, and is right about blocks of pages it hasn't seen."""
+
+    def asked(tree):
+        return set() if isinstance(tree, int) else {html_blocks.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3])
+
+    assert {"words", "density", "words_after", "density_before", "density_after"} <= asked(html_blocks.tree())
+    x, y = html_blocks.labelled(seed=77, pages=200)
+    got = np.array([html_blocks.decide(html_blocks.tree(), r) for r in x])
+    assert (got == y).mean() > 0.98
+    plain = x[:, html_blocks.FEATURES.index("page_has_content")] == 0
+    assert plain.sum() > 500 and (got == y)[plain].mean() > 0.97
+
+
+def test_html_pages_without_marks():
+    long = ["The river ran past the old stone market and under the bridge to the harbour. " * 3, "Nobody in the town could say how long the boat had been there, or whose it was. " * 2]
+    links = "".join(f"<li><a href=#>Link {k}</a></li>" for k in range(5))
+    page = f"<html><body><div><ul>{links}</ul></div><h1>The boat</h1><p>{long[0]}</p><p>{long[1]}</p><div><ul>{links}</ul></div><div><p>Copyright 2020 Town Press</p></div></body></html>"
+    assert html_blocks.main_text(page) == "\n".join(["The boat", *(t.strip() for t in long)])
+
+
+def test_html_keeps_what_an_article_shows():
+    text = html_blocks.main_text
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><noscript>Seen without scripts.</noscript><object>Or a text.</object></article>") == "Let x=2 be.\nSeen without scripts.\nOr a text."
+    assert text("<noscript>Please enable scripts.</noscript><article><p>Body.</p></article>") == "Body."
+    assert text("<article><div class='search-results story'>One.</div><div class='share-story'>Two.</div><div class='share-links'>Share</div><div class='post-footer'>Tags</div></article>") == "One.\nTwo."
+    assert text("<article><p title=don't>Second one.</p><p>Third, it's here.</p></article>") == "Second one.\nThird, it's here."
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", None, "x"), (None, None, "<p>", "y"), (2, "u", "<article>a</article>", "z"), (2, "u", "<article>a</article>", "z")]
+    got = html_blocks.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, "", 0), (2, "a", 1), (2, "a", 1)]
+    assert html_blocks.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
