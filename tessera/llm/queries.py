@@ -36,8 +36,8 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_mil.train(docs, _read(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    scored = toxicity_mil.scored(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
+    scored = toxicity_mil.scored(docs, model, locate=True)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), "offending")
 
 
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 MAX_DOCS = 4_000
 #: A document's score with no evidence, and a sentence's log odds with none.
 LEAK, BIAS = 0.02, -5.0
+#: Probability from which on a sentence is an offending one.
+OFFENDS = 0.5
 
 _END = re.compile(r"[.!?\n]")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -91,6 +93,20 @@ class Model:
         bags = self.bags(text)
         return float(1 - (1 - LEAK) * np.exp(-self.evidence(bags).sum())) if bags else LEAK
 
+    def located(self, text: str, threshold: float) -> list[tuple[int, int, int, float]]:
+        """Sentences whose probability reaches the threshold: number in the text, start and end (code points), probability."""
+        bags = self.bags(text)
+        if not bags or -np.expm1(-self.evidence(bags).max()) < threshold:
+            return []
+        out, start = [], 0
+        for k, m in enumerate([*_SENTENCE.finditer(text), None]):
+            end = m.start() if m else len(text)
+            p = float(-np.expm1(-self.evidence(self.bags(text[start:end])).sum()))
+            if p >= threshold:
+                out.append((k, start, end, p))
+            start = m.end() if m else end
+        return out
+
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 80, l1: float = 5e-4) -> Model:
     """Weights that make the noisy-or likelihood of the labels large.
@@ -150,27 +166,35 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y is not null and doc_id is not null")
     y = y.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # rows that share an id count each; the bound holds for rows
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_docs).collect()
     return fit([r.text for r in rows], np.array([r.y for r in rows]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (which replaces one of that name), the noisy-or over the whole ``text``."""
+def scored(docs: DataFrame, model: Model, locate: bool = False) -> DataFrame:
+    """All columns of ``docs`` and ``score`` (which replaces one of that name), the noisy-or over the whole ``text``.
+
+    With ``locate`` also ``offending``: ``start:end`` of each offending sentence (code points, end exclusive), comma-joined.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
-    docs = docs.drop("score")
-    fields = docs.schema.fields
+    docs = docs.drop("score", "offending") if locate else docs.drop("score")
+    fields = [*docs.schema.fields, T.StructField("score", T.DoubleType()), *[T.StructField("offending", T.StringType())] * locate]
     at = docs.columns.index("text")
 
     def run(batches):
         own = Model(weights.value)
         for b in batches:
-            scores = pa.array([own.document(t or "") for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "score"])
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            made = [pa.array([own.document(t) for t in texts], pa.float64())]
+            if locate:
+                made.append(pa.array([",".join(f"{x}:{y}" for _, x, y, _ in own.located(t, OFFENDS)) for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
-def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def offending(docs: DataFrame, model: Model, threshold: float = OFFENDS) -> DataFrame:
     """Offending sentences: ``doc_id``, ``sentence`` (number in the text, from 0), ``words`` and ``p``."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
 
@@ -179,10 +203,7 @@ def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
         for b in batches:
             rows = []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, s in enumerate(_SENTENCE.split(t or "")):
-                    p = -np.expm1(-own.evidence(own.bags(s)).sum())
-                    if p >= threshold:
-                        rows.append({"doc_id": key, "sentence": k, "words": s.strip(), "p": float(p)})
+                rows += [{"doc_id": key, "sentence": k, "words": t[x:y].strip(), "p": p} for k, x, y, p in own.located(t or "", threshold)]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("sentence", pa.int64()), ("words", pa.string()), ("p", pa.float64())]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sentence long, words string, p double")
