@@ -195,7 +195,7 @@ def _compare(threshold: float, dim: int, tables: int):
 
 
 def _searched(rows: DataFrame, dim: int, n: int, threshold: float, sample: int) -> tuple[DataFrame, DataFrame]:
-    """Classes of the ``n`` vectors of a length, and their counts and links."""
+    """Classes of the ``n`` vectors of a length (named by ``h1``), and their counts and links."""
     spark = rows.sparkSession
     classes = rows.where(F.size("e") == dim).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("e").alias("e"))
     picked = classes.orderBy(F.xxhash64("rep", "h1"), "rep").limit(sample).select("e").collect()
@@ -218,8 +218,8 @@ def _searched(rows: DataFrame, dim: int, n: int, threshold: float, sample: int)
     # block pairs (low, high) that a row's block takes part in; side 0 is the low one
     pairs = F.transform(other, lambda o: F.struct((F.least(o, "mine") * (1 << 32) + F.greatest(o, "mine")).alias("pair"), F.when(o >= F.col("mine"), 0).otherwise(1).alias("side")))
     met = keyed.join(full, ["table", "key"]).withColumn("mine", mine).select("table", "key", "h1", "h2", F.explode(pairs).alias("p"))
-    met = met.select("table", "key", "p.pair", "p.side", "h1", "h2").join(classes.select("h1", "h2", "rep", "w", "keys", "e"), ["h1", "h2"])
-    met = met.select("table", "key", "pair", "side", "rep", "w", "keys", "e").repartition(2 * wide(spark), "table", "key", "pair").sortWithinPartitions("table", "key", "pair", "side")
+    met = met.select("table", "key", "p.pair", "p.side", "h1", "h2").join(classes.select("h1", "h2", "w", "keys", "e"), ["h1", "h2"])
+    met = met.select("table", "key", "pair", "side", "h1", "w", "keys", "e").repartition(2 * wide(spark), "table", "key", "pair").sortWithinPartitions("table", "key", "pair", "side")
     return classes.select("h1", "h2", "rep", "w"), written(met.mapInArrow(_compare(threshold, dim, index.tables), "a long, b long, n long"), "links")
 
 
@@ -230,21 +230,27 @@ def linked(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE) ->
     fine = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
     good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("e") > 0) & fine & (size > 0), F.lit(False))
-    dims = rows.where(good).groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     # scaling by the largest component keeps norms of huge and tiny vectors finite
     scaled = F.transform("e", lambda v: v / F.col("top"))
     rows = rows.withColumn("good", good).withColumn("top", size)
     rows = rows.select("vec_id", F.when(F.col("good"), scaled).alias("e"))
     rows = rows.withColumns({"h1": F.xxhash64("e"), "h2": F.hash("e")})
+    # all that is needed of rows but their vectors; read by every step that needs no vector
+    ids = written(rows.select("vec_id", "h1", "h2", F.size("e").alias("d")), "ids")
+    dims = ids.where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").collect()
     if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     each = [_searched(rows, r.d, r["count"], threshold, sample) for r in dims]
     classes, found = (reduce(DataFrame.unionAll, z) for z in zip(*each, strict=True))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "ca")
-    roots = components(found.where("n = 0").select("a", "b"))
-    named = classes.select("h1", "h2", "rep", "w").join(counts, F.col("rep") == F.col("ca"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("root", "rep").alias("c"))
-    at = rows.join(named, ["h1", "h2"], "left")
-    on = F.col("e").isNotNull()
+    # rows that share an id are one node of the graph, whatever their vectors
+    of_id = ids.where("d > 0").groupBy("vec_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("vec_id", "low")
+    alike = ids.where("d > 0").join(of_id, "vec_id").select(F.col("h1").alias("a"), F.col("low").alias("b"))
+    roots = components(found.where("n = 0").select("a", "b").unionAll(alike))
+    named = classes.join(counts, F.col("h1") == F.col("ca"), "left").join(roots, F.col("h1") == F.col("node"), "left")
+    named = named.select("h1", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("root", "h1").alias("group"))
+    lowest = named.groupBy("group").agg(F.min("rep").alias("c"))
+    at = ids.join(named.join(lowest, "group").select("h1", "h2", "n", "c"), ["h1", "h2"], "left")
+    on = F.col("d") > 0
     component = F.when(on, F.col("c")).otherwise(F.col("vec_id"))
     return at.select("vec_id", F.when(on, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
