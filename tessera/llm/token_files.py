@@ -116,34 +116,32 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, kind: s
     return spark.createDataFrame(listed, MANIFEST + ", base long")
 
 
-def _open(fsys, path: str, dtype: str) -> np.ndarray:
-    """A file's integers, mapped into memory where the file is local."""
+def _part(fsys, path: str, dtype: str, start: int, stop: int) -> np.ndarray:
+    """Integers ``start`` to ``stop`` of a file, mapped into memory where it is local; elsewhere nothing but that range is read."""
     from pyarrow import fs
 
+    if start >= stop:
+        return np.zeros(0, dtype)
     if isinstance(fsys, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if fsys.get_file_info(path).size else np.zeros(0, dtype)
+        return np.memmap(path, dtype, "r")[start:stop]
+    size = np.dtype(dtype).itemsize
     with fsys.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        return np.frombuffer(f.read_at((stop - start) * size, start * size), dtype)
 
 
 def _read(batches):
     for batch in batches:
         for r in batch.to_pylist():
             fsys, path = filesystem(r["path"])
-            ids = _open(fsys, f"{path}.bin", r["dtype"])
-            offsets = _open(fsys, f"{path}.idx", "<u8").astype(np.int64)
-            keys = np.array(_open(fsys, f"{path}.ids", "<i8"))
-            null = np.array(_open(fsys, f"{path}.nul", "u1")).astype(bool)
-            for at in range(0, len(keys), 4096):
-                to = min(at + 4096, len(keys))
-                crc = [zlib.crc32(ids[offsets[k] : offsets[k + 1]].astype("<u4").tobytes()) for k in range(at, to)]
+            for at in range(0, r["docs"], 4096):
+                to = min(at + 4096, r["docs"])
+                offsets = _part(fsys, f"{path}.idx", "<u8", at, to + 1).astype(np.int64)
+                ids = _part(fsys, f"{path}.bin", r["dtype"], int(offsets[0]), int(offsets[-1]))
+                near = offsets - offsets[0]
+                crc = [zlib.crc32(ids[near[k] : near[k + 1]].astype("<u4").tobytes()) for k in range(to - at)]
+                null = np.array(_part(fsys, f"{path}.nul", "u1", at, to)).astype(bool)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[at:to], mask=null[at:to]),
-                        pa.array(offsets[at:to] + r["base"]),
-                        pa.array(np.diff(offsets[at : to + 1])),
-                        pa.array(crc, pa.int64()),
-                    ],
+                    [pa.array(np.array(_part(fsys, f"{path}.ids", "<i8", at, to)), mask=null), pa.array(offsets[:-1] + r["base"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -151,11 +149,11 @@ def _read(batches):
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document from the files: its id, start, length and checksum of its ids."""
     spark: SparkSession = manifest.sparkSession
-    parts = manifest.select("path", "dtype", "base").repartition(2 * wide(spark), "path")
+    parts = manifest.select("path", "dtype", "docs", "base").repartition(2 * wide(spark), "path")
     return parts.mapInArrow(_read, READ)
 
 
 def token_ids(spark: SparkSession, path: str, start: int, stop: int, dtype: str) -> np.ndarray:
     """Ids ``start`` to ``stop`` of one file, without reading the rest of it."""
     fsys, local = filesystem(path)
-    return np.array(_open(fsys, f"{local}.bin", dtype)[start:stop])
+    return np.array(_part(fsys, f"{local}.bin", dtype, start, stop))
