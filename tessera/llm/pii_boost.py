@@ -22,7 +22,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,13 @@ GENERATORS = {
     "triple": r"(?<![A-Za-z0-9])[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}(?![A-Za-z0-9])",
     "groups": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}(?:[\x20-]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: What a text must hold for a generator to find anything in it.
-NEEDED = {"secret_value": f"(?i){SECRET}", "quoted": f"(?i){SECRET}", "id_value": f"(?i){ID}", "number": "[0-9]", "triple": "[0-9]", "groups": "[0-9]"}
+#: What a text must hold for a generator to find anything in it: one of these words, in any case, or a match of a pattern.
+_SECRET_PARTS = ("token", "passw", "pwd", "secret", "api", "access", "bearer", "credential")
+_ID_PARTS = ("ssn", "social security", "passport", "iban", "account", "tax id", "national id", "driver")
+NEEDED = {
+    ("token",): None, ("secret_value", "quoted"): _SECRET_PARTS, ("id_value",): _ID_PARTS,
+    ("number",): r"[0-9][\x20./-][0-9]", ("triple",): r"[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}", ("groups",): "[A-Z]{2}[0-9]{2}",
+}
 SPAN = "struct<start:int,kind_no:int,end:int,kind:string,text:string>"
 CANDIDATE = "struct<start:int,end:int,text:string,before:string>"
 #: Elements that an array grows by, and code points of a block that pieces of a text are cut from.
@@ -108,6 +114,12 @@ def piece(blocks: Column, start: Column, length: Column) -> Column:
     return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, length)
 
 
+def _holds(text: Column, needed: str | tuple[str, ...]) -> Column:
+    if isinstance(needed, str):
+        return text.rlike(needed)
+    return _let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in needed]))
+
+
 def _pairs(text: Column, pattern: str) -> Column:
     """Matches of a pattern, each with the gap before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -184,12 +196,12 @@ def _is(kind: str):
 
 def base_spans(text: Column) -> Column:
     """Spans of the base kinds by start, then kind."""
-    cheap = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    some = text.rlike("[0-9]")
+    # what a text must hold for a kind to be in it
+    cheap = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), "phone": F.contains(text, F.lit("+"))}
     each = []
     for k, (kind, pattern) in enumerate(BASE.items()):
         own = F.filter(matches(text, pattern, kind, k), _validity(kind))
-        each.append(F.when(cheap.get(kind, some), own).otherwise(F.array().cast(f"array<{SPAN}>")))
+        each.append(F.when(cheap[kind], own).otherwise(F.array().cast(f"array<{SPAN}>")))
     return F.sort_array(F.concat(*each))
 
 
@@ -384,6 +396,31 @@ def calibrated() -> dict[str, float]:
     return {kind: least_score([(summed(trees, r), y > 0) for (r, y), on in zip(rest, is_id, strict=True) if on == (kind == "id")]) for kind in ADDED}
 
 
+#: A plain word: nine letters or more, none but the first upper-case, and not all of them hexadecimal digits; the ranges of its features.
+PLAIN_WORD, NOT_HEX = "^[A-Za-z][a-z]{8,}$", "[g-z]"
+_ANY = (-math.inf, math.inf)
+PLAIN_RANGES = {
+    "length": (9.0, math.inf), "digit_share": (0.0, 0.0), "upper_share": (0.0, 1 / 9), "lower_share": (8 / 9, 1.0), "mark_share": (0.0, 0.0), "hex": (0.0, 0.0),
+    "known_form": (0.0, 0.0), "number_form": (0.0, 0.0), "after_secret_word": (0.0, 0.0), "after_id_word": (0.0, 0.0), "space_share": (0.0, 0.0), "assigned": (0.0, 0.0),
+}
+
+
+def most(tree, ranges: list[tuple[float, float]]) -> float:
+    """The largest leaf of a tree that features in these ranges can reach."""
+    if not isinstance(tree, tuple):
+        return tree
+    k, bound, low, high = tree
+    low_end, high_end = ranges[k]
+    return max([most(t, ranges) for t, on in ((low, low_end <= bound), (high, high_end > bound)) if on])
+
+
+@cache
+def plain_words_stay() -> bool:
+    """Whether no plain word that follows no telling one can be selected: then the trees needn't be asked."""
+    ranges = [PLAIN_RANGES.get(f, _ANY) for f in FEATURES]
+    return sum(rate * most(t, ranges) for rate, t in boosted()[0]) < min(calibrated().values())
+
+
 def _tree_column(tree, features: list[Column]) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(float(tree))
@@ -429,9 +466,9 @@ def added_spans(text: Column, base: Column) -> Column:
     """Spans that the trees select among all candidates and that no base span overlaps; those that overlap are joined."""
     least = calibrated()
     some = []
-    for name, pattern in GENERATORS.items():
-        own = candidates(text, pattern)
-        some.append(F.when(text.rlike(NEEDED[name]), own).otherwise(F.array().cast(f"array<{CANDIDATE}>")) if name in NEEDED else own)
+    for names, needed in NEEDED.items():
+        own = F.concat(*[candidates(text, GENERATORS[n]) for n in names])
+        some.append(own if needed is None else F.when(_holds(text, needed), own).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
 
     def scored(s: Column) -> Column:
         def both(values: Column) -> Column:
@@ -440,8 +477,17 @@ def added_spans(text: Column, base: Column) -> Column:
 
         return _let(F.array(*feature_columns(s["text"], s["before"])), both)
 
+    def open_(s: Column) -> Column:
+        """All candidates but those whose score is known to be too low."""
+        told = s["before"].rlike(SECRET_WORDS) | s["before"].rlike(ID_WORDS) | s["before"].rlike(ASSIGNED)
+        return ~s["text"].rlike(PLAIN_WORD) | ~s["text"].rlike(NOT_HEX) | told
+
+    proposed = F.concat(*some)
+    if plain_words_stay():
+        proposed = F.filter(proposed, open_)
+
     high = lambda s: s["score"] >= F.when(s["ident"], F.lit(least["id"])).otherwise(F.lit(least["secret"]))
-    chosen = F.filter(F.transform(_free(F.concat(*some), base), scored), high)
+    chosen = F.filter(F.transform(_free(proposed, base), scored), high)
     group = "struct<start:int,end:int,score:double,ident:boolean>"
     zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0.0).alias("score"), F.lit(False).alias("ident"))
 
