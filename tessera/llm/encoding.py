@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 #: Pieces whose ids a worker remembers; later ones are encoded each time.
-REMEMBER = 250_000
+REMEMBER = 500_000
 #: White space before a space, where a cut at the space would split a run.
 RUN = r"[\s\pZ\x0b\x1c-\x1f\x85] "
 
@@ -157,3 +157,8 @@ def encoder(path: str, kind: str) -> Encoder:
     if (path, kind) not in _held:
         _held[path, kind] = Encoder(path, kind)
     return _held[path, kind]
+
+
+def drop_encoders() -> None:
+    """Give up this worker's encoders: a stage that needs none shouldn't hold their pieces."""
+    _held.clear()

@@ -9,7 +9,10 @@ can reach.  Such a table outlives the executor that wrote it; nothing here uses
 from __future__ import annotations
 
 import ctypes
+import threading
+import time
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,24 +37,58 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
+_writing = threading.Lock()
+_before: dict[int, tuple[int, dict[str, str]]] = {}  # session: writes that run, and its own settings
+
+
+@contextmanager
+def _write_settings(spark: SparkSession):
+    """``WRITING`` holds while any write of the session runs; the first one sets it, the last one puts back what was before."""
+    with _writing:
+        n, before = _before.get(id(spark), (0, {}))
+        if not n:
+            before = {k: spark.conf.get(k) for k in WRITING}
+            for k, v in WRITING.items():
+                spark.conf.set(k, v)
+        _before[id(spark)] = n + 1, before
+    try:
+        yield
+    finally:
+        with _writing:
+            n, before = _before.pop(id(spark))
+            if n > 1:
+                _before[id(spark)] = n - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends.
 
-    Its shuffle files have no reader after that, and go as the write ends.
+    Its shuffle files have no reader after that, and go as the write ends.  The table itself stays for
+    whoever reads the result: ``forget`` drops it when that is over, ``sweep`` drops those of former sessions.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = {k: spark.conf.get(k) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    with _write_settings(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, older_than_s: float = 24 * 3600) -> int:
+    """Delete scratch tables that are older than given, of whatever session; returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera")
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return 0
+    old = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() < (time.time() - older_than_s) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

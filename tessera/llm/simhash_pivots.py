@@ -46,7 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, forget, wide, written
+from .encoding import drop_encoders
+from .shared import components, forget, tidy, wide, written
 from .shingle_order import HOT, first_keys, hot_shingles
 from .shingles import pressed, shingle_hashes, shingle_set
 
@@ -266,6 +267,7 @@ def linked(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     classes = written(classes_of(prints), "classes")
     links = written(candidate_links(classes, block_masks(radius, classes.count()), radius, False), "links")
     roots = components(links)
+    forget(links)
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -307,6 +309,8 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "same", "size", "fp", "sketch", "text", "hash", "count"]
 
     def run(batches):
+        drop_encoders()
+        tidy()
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(2)]
             fp, n, sketches = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), []
