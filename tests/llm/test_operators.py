@@ -4,6 +4,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +55,24 @@ def roots(n, links):
     return [find(k) for k in range(n)]
 
 
+def test_scratch_tables_and_settings(spark):
+    """Writes at once leave the session's settings as they were; scratch goes when told, and nothing else does."""
+    import threading
+
+    from tessera.llm import shared
+
+    before = {k: spark.conf.get(k) for k in shared.WRITING}
+    made = []
+    threads = [threading.Thread(target=lambda k=k: made.append(shared.written(spark.range(k), "t"))) for k in range(1, 5)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert {k: spark.conf.get(k) for k in shared.WRITING} == before and sorted(t.count() for t in made) == [1, 2, 3, 4]
+    shared.forget(made[0])
+    shared.forget(documents(spark))  # no scratch: stays
+    assert documents(spark).count() and shared.sweep(spark, 3600) == 0
+    assert shared.free_names(spark.range(1).selectExpr("1 as _T0_", "2 as _t1_q"), 2) == ["_t2_", "_t3_"]
+
+
 # -- 1 SimHash with pivots ---------------------------------------------------------------------
 
 
@@ -185,6 +204,34 @@ def test_toxicity_query(spark):
     assert [(r.sentence, r.words) for r in hit] == [(1, "You idiot")]
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Documents that fitting never reads: most of the toxic ones are caught and few others, and their sentences are located."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    own = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = [r for r in queries.toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    hits = sum(r.predicted and labels[r.doc_id] for r in rows)
+    caught, toxic = sum(r.predicted for r in rows), sum(labels[r.doc_id] for r in rows)
+    assert len(rows) > 80 and toxic > 5 and hits >= 0.75 * caught and hits >= 0.65 * toxic
+    strong = [r for r in rows if r.score > 0.9]
+    assert strong and all(r.offending for r in strong) and not any(r.offending for r in rows if r.score < 0.3)
+    for r in strong:
+        for span in r.offending.split(","):
+            a, b = map(int, span.split(":"))
+            assert 0 <= a < b <= len(own[r.doc_id]) and not re.search(r"[.!?\n]", own[r.doc_id][a:b])
+
+
+def test_toxicity_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity_mil.train(docs_of(spark), empty)
+    assert model.weights == {} and {r.score for r in toxicity_mil.scored(docs_of(spark), model, True).collect()} == {toxicity_mil.LEAK}
+    assert toxicity_mil.scored(docs_of(spark, []), model, True).count() == 0
+    one = toxicity_mil.Model({"idiot$": 12.0})
+    assert [x[:3] for x in one.located("İ İ. you IDIOT!\n idiot", 0.5)] == [(1, 4, 14), (2, 16, 22)]
+    many = spark.createDataFrame([(1, f"text {k} idiot") for k in range(50)] + [(4, "fine words")], "doc_id long, text string")
+    assert toxicity_mil.train(many, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, toxic int"), max_docs=10) is not None
+
+
 # -- 3 embeddings ------------------------------------------------------------------------------
 
 
@@ -241,6 +288,13 @@ def test_embedding_index_meets_near_the_threshold_at_any_size(n, offset):
     assert (index.keys(x) == index.keys(y)).any(1).mean() >= 0.93
 
 
+def test_embeddings_one_id_with_several_vectors(spark):
+    """Each row counts its own vector's links; the id is one node, so what either reaches is one component."""
+    rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [0.99, 0.05, 0.0]), (9, [0.05, 0.99, 0.0]), (10, [0.0, 0.99, 0.04]), (11, [0.0, 0.0, 1.0]), (12, [1.0, 2.0]), (13, [2.0, 4.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_itq.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (10, 2, 7, False), (11, 0, 11, True), (12, 1, 12, True), (13, 1, 12, False)]
+
+
 # -- 4 mixing ------------------------------------------------------------------------------------
 
 
@@ -356,13 +410,31 @@ def test_token_files_round_trip(spark):
     assert token_files.read_token_files(token_files.write_token_files(docs_of(spark, []), queries.vocabulary("byte_bpe_50k.json"), 0)).count() == 0
 
 
+def assert_pieces(pieces, docs):
+    """Every piece holds the ids that the library gives its document there, and each id lies in exactly one piece."""
+    ids, copies, held = dict(docs), Counter(i for i, _ in docs), {}
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == crc(ids[p.doc_id][p.start : p.start + p.length])
+        held.setdefault(p.doc_id, Counter()).update(range(p.start, p.start + p.length))
+    assert set(held) == set(ids) and all(held[i] == Counter({k: copies[i] for k in range(len(ids[i]))}) for i in ids)
+
+
+def test_registered_token_queries_match_the_library(spark):
+    own = texts(spark)
+    at = 0
+    want = []
+    for i in sorted(own):
+        ids = whole("byte_bpe_50k.json", own[i], 0)
+        want.append((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.token_output(spark, SF).collect()) == want
+    assert_pieces(queries.packing(spark, SF).collect(), [(i, whole("word_bpe_49k.json", t, 2)) for i, t in own.items()])
+
+
 def test_packing_holds_every_id_once(spark):
     docs = docs_of(spark)
     pieces = packing_hilbert.packed(docs, queries.vocabulary("word_bpe_49k.json"), 2, 256).collect()
-    want = sorted(crc(whole("word_bpe_49k.json", t, 2)) for _, t, _ in ODD)
-    starts = [p for p in pieces if p.start == 0]
-    assert len(starts) == len(ODD) and sum(p.length for p in pieces) == sum(len(whole("word_bpe_49k.json", t, 2)) for _, t, _ in ODD)
-    assert sorted(p.ids_crc32 for p in starts if p.length == p.doc_tokens) == sorted(set(want) & {p.ids_crc32 for p in starts} and [p.ids_crc32 for p in starts if p.length == p.doc_tokens])
+    assert_pieces(pieces, [(i, whole("word_bpe_49k.json", t, 2)) for i, t, _ in ODD])
     by = {}
     for p in pieces:
         by.setdefault(p.sequence_id, []).append(p)
@@ -427,6 +499,36 @@ def test_block_tables_find_all_within_radius(spark):
     assert got == want and len(want) >= 60
 
 
+@pytest.mark.parametrize(("free", "key"), [(1, 256), (2, 256), (3, 256), (1, 4)])
+def test_neighbours_match_brute_force(spark, monkeypatch, free, key):
+    """Counts and smallest ids, for every width of keys, with copies, null ids and a key that is split."""
+    monkeypatch.setattr(fingerprint_simhash, "KEY", key)
+    rng = np.random.default_rng(4)
+    prints = []
+    for k in range(25):
+        a, b = (int(x) for x in rng.integers(-(1 << 63), 1 << 63, 2))
+        prints += [(5 * k, (a, b)), (5 * k + 1, (a ^ 0b110, b ^ (1 << 20))), (5 * k + 2, (a, b)), (None, (a, b ^ 7)), (5 * k + 3, (a ^ 0xFFFF, b))]
+    prints += [(200 + k, (5, 1 << k)) for k in range(40)]
+    df = spark.createDataFrame(prints, "doc_id long, fp struct<a:long,b:long>")
+    got = {(r.na, r.nb): (r.n_within, r.lowest_within) for r in fingerprint_simhash.neighbours(df, 3, free).collect()}
+    bits = lambda x, y: sum(((p ^ q) % (1 << 64)).bit_count() for p, q in zip(x, y, strict=True))
+    for x in {f for _, f in prints}:
+        near = [i for i, f in prints if bits(x, f) <= 3]
+        assert got[x] == (len(near) - 1, min((i for i in near if i is not None), default=None))
+
+
+def test_fingerprint_query_likeness_and_neighbours(spark):
+    """The registered query: likenesses are those of its own fingerprints, neighbours those of all."""
+    rows = sorted(queries.document_fingerprints(spark, SF).collect(), key=lambda r: r.doc_id)
+    bits = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count()
+    like = lambda d: 0.0 if d >= 64 else np.cos(d * np.pi / 128)
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        assert abs(r.near_edited - like(bits(r.fingerprint, r.edited_fingerprint))) < 1e-9
+        assert abs(r.near_next - like(bits(r.fingerprint, after.fingerprint))) < 1e-9
+        near = [x.doc_id for x in rows if bits(x.fingerprint, r.fingerprint) <= 3]
+        assert (r.n_within, r.lowest_within) == (len(near) - 1, min(near))
+
+
 # -- 7 licenses ------------------------------------------------------------------------------------
 
 
@@ -477,6 +579,24 @@ def test_whole_license_wordings_and_excerpts():
     assert found("This is free and unencumbered software released into the public domain.") == (["unlicense-excerpt"], 0.75)
 
 
+def test_notices_and_graded_scores():
+    scan = license_templates.scan
+    apache = """Copyright 2020 Some Body
+    Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0
+    Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+    either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+    assert "apache-2.0-notice" in scan(apache)["labels"] and scan(apache)["score"] == 1.0
+    assert "apache-2.0-notice" not in scan(apache.replace("CONDITIONS OF ANY KIND", "CONDITIONS"))["labels"]
+    gpl = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+    either version 3 of the License{later}. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+    assert "gpl-3.0-or-later" in scan(gpl.format(later=", or (at your option) any later version"))["labels"]
+    assert "gpl-3.0-only" in scan(gpl.format(later=""))["labels"] and "gpl-3.0-or-later" not in scan(gpl.format(later=""))["labels"]
+    short, long = (scan(f"{pad} licensed under CC BY 4.0")["score"] for pad in ("", "some other words " * 30))
+    assert 0.75 < long < short <= 0.95 and scan("about the mit license of old")["score"] == 0.5
+
+
 def test_license_places_match_brute_force(spark):
     base = license_templates.PHRASES
     odd = [(100, "mit license mit license apache license, cc\nby CC-BY", "s"), (101, "É mit  licensé MIT LICENSE", "s")]
@@ -685,3 +805,18 @@ def test_html_odd_rows(spark):
     got = html_blocks.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, "", 0), (2, "a", 1), (2, "a", 1)]
     assert html_blocks.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pii_shortcuts_change_nothing(spark, monkeypatch):
+    """What a text must hold, and plain words that can't be selected: without either the spans are the same."""
+    docs = documents(spark).select("doc_id", "text")
+    quick = sorted(pii_boost.found(docs).collect())
+    assert pii_boost.plain_words_stay()
+    monkeypatch.setattr(pii_boost, "plain_words_stay", lambda: False)
+    monkeypatch.setattr(pii_boost, "_holds", lambda text, needed: F.lit(True))
+    assert sorted(pii_boost.found(docs).collect()) == quick
+    ranges = [pii_boost.PLAIN_RANGES.get(f, (-np.inf, np.inf)) for f in pii_boost.FEATURES]
+    for word in ("afterwards", "Northernmost", "zzzzzzzzz", "Abcdefghijklmnopqrstuvwxyz"):
+        row = pii_boost.features_of(word, " the ")
+        assert all(a <= x <= b for x, (a, b) in zip(row, ranges, strict=True))
+        assert pii_boost.summed(pii_boost.boosted()[0], row) <= sum(r * pii_boost.most(t, ranges) for r, t in pii_boost.boosted()[0])
