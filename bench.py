@@ -23,6 +23,8 @@ STATEMENTS = {
     "join_orders_customer": "SELECT c_mktsegment, COUNT(*), SUM(o_totalprice) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "top_k": "SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC LIMIT 100",
 }
+#: Rows of the one-column table that the published figures are for.
+ROWS = 10_000_000
 
 
 def main() -> None:
@@ -60,6 +62,15 @@ def main() -> None:
         timed("append_10000_rows", lambda: db.append("t", batch))
         own.execute("CREATE INDEX t_id ON t (id)")
         timed("indexed_lookup", lambda: own.query("SELECT * FROM t WHERE id = 4711").collect())
+        own.execute("CREATE TABLE big (id INT64)")
+        began = time.perf_counter()
+        db.append("big", spark.range(0, ROWS, 1, int(CPUS)).toDF("id"))
+        seconds["append_10m_rows"] = round(time.perf_counter() - began, 4)
+        scan = lambda sql: own.query(sql).write.format("noop").mode("overwrite").save()
+        timed("full_scan_10m", lambda: scan("SELECT * FROM big"))
+        timed("filter_10m", lambda: scan("SELECT * FROM big WHERE id > 50000"))
+        own.execute("CREATE INDEX big_id ON big (id)")
+        timed("indexed_lookup_10m", lambda: own.query("SELECT * FROM big WHERE id = 4242424").collect())
         timed("update_where", lambda: own.execute("UPDATE t SET v = 1.5 WHERE id < 100"))
         timed("delete_where", lambda: own.execute("DELETE FROM t WHERE id = 17"))
     print(json.dumps({"metric": "sum of warm query times", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": SF_DIR.rsplit("sf", 1)[-1]}))
