@@ -6,7 +6,8 @@ cell's Hilbert index is the sort key: documents are dealt by range of (key,
 ``doc_id``), so neighbours on the curve, which resemble each other, stand together.
 The ids of all documents in that order are one stream, cut into sequences of
 ``length``; what remains at its end is cut into sequences of falling powers of
-two, which need no padding.  The stream's positions come from prefix sums over the
+two, which need no padding.  Long documents travel in rows of ``PART`` ids, so ranges that are even in rows are
+about even in bytes, and no row is large.  The stream's positions come from prefix sums over the
 partitions' totals, the only figures that the driver sees.
 
 Defined results: a null or empty text is its end id alone; rows with equal
@@ -20,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from .shared import forget, tidy, wide, written
 
 #: Dimensions of the projection, bits of each, and the seed of the projection.
 DIMS, DEPTH, SEED = 4, 8, 11
+#: Ids of a row at most while documents are put in order.
+PART = 4096
+ENCODED = "doc_id long, key long, tie long, start long, n long, total long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -74,23 +79,28 @@ def curve_keys(lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "word") -> DataFrame:
-    """``doc_id``, ``key`` on the curve, ``n`` ids and the ``ids`` themselves, each document's end id included."""
+    """``ENCODED``: a document's parts of up to PART ``ids``, with its ``key`` on the curve, a hash of its ids as ``tie`` and all of its ids as ``total``; the end id is included."""
 
     def run(batches):
         enc = encoder(tokenizer_path, kind)
         for b in batches:
             for at, lengths, ids in enc.encode(b.column(1)):
                 keys = curve_keys(lengths, ids)
-                ended = np.insert(ids, np.cumsum(lengths), end_id).astype(enc.dtype)
-                offsets = np.concatenate([[0], np.cumsum(lengths + 1)]) * enc.dtype.itemsize
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ended)])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(lengths)), pa.array(keys), pa.array(lengths + 1), blob.cast(pa.binary())],
-                    names=["doc_id", "key", "n", "ids"],
-                )
+                ended = np.ascontiguousarray(np.insert(ids, np.cumsum(lengths), end_id).astype(enc.dtype))
+                total = lengths + 1
+                ends = np.cumsum(total)
+                ties = np.array([xxhash.xxh64_intdigest(ended[e - n : e]) for e, n in zip(ends, total, strict=True)], np.uint64).view(np.int64)
+                parts = -(-total // PART)
+                own = np.repeat(np.arange(len(total)), parts)
+                start = (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)) * PART
+                n = np.minimum(total[own] - start, PART)
+                offsets = np.concatenate([[0], np.cumsum(n)]) * enc.dtype.itemsize
+                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ended)])
+                columns = [b.column(0).take(pa.array(own + at)), *(pa.array(x) for x in (keys[own], ties[own], start, n, total[own])), blob.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ENCODED.split(", ")])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
 def _ends(total: int, length: int) -> list[int]:
@@ -123,12 +133,8 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     enc = written(encoded(docs, tokenizer_path, end_id, kind), "encoded")
-    dealt = (
-        enc.withColumn("tie", F.xxhash64("ids"))
-        .repartitionByRange(2 * wide(spark), "key", "doc_id", "tie")
-        .sortWithinPartitions("key", "doc_id", "tie")
-        .select("doc_id", "n", "ids", F.spark_partition_id().alias("part"), "key", "tie")
-    )
+    order = ["key", "doc_id", "tie", "start"]
+    dealt = enc.repartitionByRange(2 * wide(spark), *order).sortWithinPartitions(*order).select("doc_id", "start", "n", "total", "ids", F.spark_partition_id().alias("part"), "key", "tie")
     # the order is fixed by being written: totals and pieces come from the same files
     ordered = written(dealt, "ordered")
     forget(enc)
@@ -144,7 +150,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096
         at: dict[int, int] = {}
         for b in batches:
             rows: list[list[int | None]] = [[] for _ in range(7)]
-            for doc_id, n, ids, part in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc_id, first, n, total, ids, part in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 pos = at.get(part, bases[part])
                 at[part] = pos + n
                 wide_ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
@@ -152,15 +158,16 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096
                 while start < n:
                     seq, begin, end = sequence_of(pos + start, length, tail, whole)
                     size = min(n - start, end - pos - start)
-                    row = (doc_id, start, size, zlib.crc32(wide_ids[start : start + size].tobytes()), n, seq, pos + start - begin)
+                    row = (doc_id, first + start, size, zlib.crc32(wide_ids[start : start + size].tobytes()), total, seq, pos + start - begin)
                     for out, v in zip(rows, row, strict=True):
                         out.append(v)
                     start += size
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return _by_file(ordered).mapInArrow(run, PIECES)
+    return _by_file(ordered, max(totals, default=0) + 1).mapInArrow(run, PIECES)
 
 
-def _by_file(ordered: DataFrame) -> DataFrame:
-    """The written partitions again, each whole and in its order in one task."""
-    return ordered.repartition(2 * wide(ordered.sparkSession), "part").sortWithinPartitions("part", "key", "doc_id", "tie").select("doc_id", "n", "ids", "part")
+def _by_file(ordered: DataFrame, parts: int) -> DataFrame:
+    """The written partitions again, each whole and in its order in a task of its own."""
+    dealt = ordered.repartitionById(parts, F.col("part"))
+    return dealt.sortWithinPartitions("part", "key", "doc_id", "tie", "start").select("doc_id", "start", "n", "total", "ids", "part")
