@@ -39,7 +39,7 @@ from .shared import WORD, free_names, wide, written
 #: Blocks of a source: at least (if they have so many documents), by documents of a block, and at most.
 BLOCKS, LEAST_DOCS, BLOCK_DOCS, MOST_BLOCKS = 512, 16, 4096, 8192
 #: Output shards at least, words of a shard, and the seed of all draws.
-SHARDS, SHARD_WORDS, SEED = 64, 8_000_000, 5
+SHARDS, SHARD_WORDS, SEED = 64, 2_000_000, 5
 #: Documents of the partly drawn blocks on either side of a source's target, if it has so many, and those that a task looks at.
 MARGIN, EDGE = 1000, 1 << 14
 #: Documents among which the choice is exact, and words up to which sums are looked at for that.
