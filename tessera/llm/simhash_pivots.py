@@ -462,9 +462,9 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, slack_bits:
     described = written(_described(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name().alias("same"), "text"), size), "described")
     members = written(described.where("same is not null").select("doc_id", "same"), "members")
     firsts = members.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    own = described.where("same is not null").select("doc_id", "same", "size", "fp", "sketch", "text")
-    unique = own.join(firsts, own.doc_id.eqNullSafe(firsts.rep) & (own.same == firsts.same), "left_semi").dropDuplicates(["same"])
-    unique = written(unique.select(F.col("same").alias("node"), "size", "fp", "sketch", "text"), "texts")
+    # any row of a text will do; copies go before they are exchanged
+    own = described.where("same is not null").select(F.col("same").alias("node"), "size", "fp", "sketch", "text")
+    unique = written(own.dropDuplicates(["node"]), "texts")
     texts, prints = unique.select("node", "text"), unique.select("node", "size", "sketch")
 
     n, shingles = unique.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
