@@ -820,3 +820,10 @@ def test_pii_shortcuts_change_nothing(spark, monkeypatch):
         row = pii_boost.features_of(word, " the ")
         assert all(a <= x <= b for x, (a, b) in zip(row, ranges, strict=True))
         assert pii_boost.summed(pii_boost.boosted()[0], row) <= sum(r * pii_boost.most(t, ranges) for r, t in pii_boost.boosted()[0])
+
+
+def test_license_scan_of_nothing(spark):
+    assert license_templates.scanned(docs_of(spark, [])).count() == 0
+    rows = [(1, "mit license", "a"), (1, "mit license", "a"), (None, None, None)]
+    got = [(r.doc_id, r.n_base, r.labels, r.score) for r in license_templates.scanned(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=str) == [(1, 1, "mit", 0.5), (1, 1, "mit", 0.5), (None, 0, "", 0.0)]
