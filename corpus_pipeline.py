@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing_tree, packing_hilbert, pii_boost, simhash_pivots, toxicity_mil
 from tessera.llm.queries import TOXIC, vocabulary
-from tessera.llm.shared import forget, written
+from tessera.llm.shared import forget, free_names, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row: of its smallest ``doc_id`` (rows without an id come last), repeated rows once."""
-    names = (n for k in range(len(docs.columns) + 3) if (n := f"_near{k}") not in docs.columns)
-    own, kept_id, kept_name = (next(names) for _ in range(3))
-    kept = simhash_pivots.similar(docs).where("first").select(F.col("doc_id").alias(kept_id), F.col("same").alias(kept_name)).distinct()
-    rows = docs.withColumn(own, simhash_pivots.text_name())
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_name)), "left_semi")
-    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
+    id_, name, kept_id, kept_name = free_names(docs, 4)
+    # plain keys, so that the join's exchange serves both steps: a null id is 0, and its text's name is turned over
+    keys = lambda same: (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.when(F.col("doc_id").isNull(), F.bitwise_not(same)).otherwise(same))
+    kept = simhash_pivots.similar(docs).where("first").select(*[k.alias(n) for k, n in zip(keys(F.col("same")), (kept_id, kept_name), strict=True)]).distinct()
+    rows = docs.withColumns(dict(zip((id_, name), keys(simhash_pivots.text_name()), strict=True)))
+    rows = rows.join(kept, (F.col(id_) == F.col(kept_id)) & (F.col(name) == F.col(kept_name)), "left_semi")
+    return rows.dropDuplicates([id_, name]).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
