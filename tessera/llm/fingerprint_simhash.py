@@ -24,7 +24,7 @@ a single document is itself; an empty table gives no rows; further columns are i
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import ceil, isqrt, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,17 +91,33 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(d >= BITS // 2, F.lit(0.0)).when(d == 0, F.lit(1.0)).otherwise(F.cos(d * F.lit(3.141592653589793 / BITS)))
 
 
+def _below(bounds: list[int], x: Column, equal: bool = False) -> Column:
+    """How many of the sorted bounds are below ``x`` (or equal to it), by looking at about twice the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = isqrt(len(bounds)) + 1
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731 - folded to one literal
+    under = lambda b: b <= x if equal else b < x
+    heads = F.size(F.filter(constant(bounds[::step]), under))
+    rest = F.size(F.filter(F.slice(constant(bounds), F.greatest(heads - 1, F.lit(0)) * step + 1, F.lit(step)), under))
+    return F.greatest(heads - 1, F.lit(0)) * step + rest
+
+
 def in_ranges(rows: DataFrame) -> DataFrame:
     """Rows dealt to ranges of ``doc_id`` (column ``range``), each with a guest: the first row of the next range that has rows.
 
-    Only the bounds and each range's first id come to the driver; ``tie`` orders equal ids.
+    Only the bounds and each range's first id come to the driver; ``tie`` orders equal ids.  An id that
+    has the rows of several ranges, and null ids, are cut into as many by ``tie``.
     """
     spark = rows.sparkSession
     n = 4 * wide(spark)
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("b")).first().b or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    at = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at))
+    seen = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("b"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    bounds, nulls = sorted(seen.b or []), ceil(n * (seen.n - seen.known) / max(seen.n, 1))
+    first = _below(bounds, F.col("doc_id"))
+    parts = F.when(F.col("doc_id").isNull(), F.lit(nulls)).otherwise(_below(bounds, F.col("doc_id"), True) - first + 1)
+    of_tie = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts)
+    within_id = F.least(F.greatest(of_tie, F.lit(0)), parts - 1).cast("int")
+    rows = rows.withColumn("range", (F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(first + nulls) + within_id).cast("int"))
     lowest = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("low")
     firsts = sorted((r.range, r.low.doc_id, r.low.tie) for r in rows.groupBy("range").agg(lowest).collect())
     guests = [(*f, firsts[k - 1][0]) for k, f in enumerate(firsts)]

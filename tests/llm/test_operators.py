@@ -486,6 +486,20 @@ def test_fingerprints_of_edited_texts(spark):
     assert fingerprint_simhash.compared(docs_of(spark, [])).count() == 0
 
 
+def test_ranges_cut_hot_ids(spark):
+    """Rows in order of id and tie, whatever id is hot or null: no range holds much more than its share."""
+    rows = [(k, k * 7919 % 1009) for k in range(300)] + [(50, k) for k in range(400)] + [(None, k) for k in range(300)]
+    scatter = F.xxhash64("t").alias("tie")
+    df = spark.createDataFrame(rows, "doc_id long, t long").select("doc_id", scatter, F.lit("x").alias("text"))
+    got = [r for r in fingerprint_simhash.in_ranges(df).collect() if not r.guest]
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie)
+    assert len(got) == len(rows) and [r.range for r in sorted(got, key=key)] == sorted(r.range for r in got)
+    assert max(Counter(r.range for r in got).values()) <= 4 * len(rows) / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted([3, 3, 3, 8, 9, 9, 40, 41, 50, 50])
+    found = spark.range(60).select("id", fingerprint_simhash._below(bounds, F.col("id")).alias("a"), fingerprint_simhash._below(bounds, F.col("id"), True).alias("b")).collect()
+    assert all((r.a, r.b) == (sum(b < r.id for b in bounds), sum(b <= r.id for b in bounds)) for r in found)
+
+
 def test_block_tables_find_all_within_radius(spark):
     rng = np.random.default_rng(8)
     prints = []
