@@ -86,4 +86,20 @@ QUERIES = {
     "op10_pii": pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of vectors by their cosine, and what is reachable by links; the other operators' hashes, models and tokenizers are beyond SQL.
+_COSINES = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding) AND isfinite(list_max(embedding)) AND isfinite(list_min(embedding))
+    AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reached(x, y) AS (
+    SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), counted AS (SELECT x, COUNT(*) AS n FROM links GROUP BY x), lowest AS (SELECT x, MIN(y) AS low FROM reached GROUP BY x)
+SELECT vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, LEAST(vec_id, COALESCE(low, vec_id)) AS component_id, vec_id <= COALESCE(low, vec_id) AS kept
+FROM embeddings LEFT JOIN counted ON vec_id = counted.x LEFT JOIN lowest ON vec_id = lowest.x
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": _COSINES}

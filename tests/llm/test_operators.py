@@ -288,6 +288,16 @@ def test_embedding_index_meets_near_the_threshold_at_any_size(n, offset):
     assert (index.keys(x) == index.keys(y)).any(1).mean() >= 0.93
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_embeddings_match_sql(spark, sf):
+    from ..oracle import connection, same
+
+    folder = f"/root/testdata/{sf}"
+    name = "op3_embedding_near_dedup"
+    ok, seen = same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], folder, connection(folder))
+    assert ok, seen
+
+
 def test_embeddings_one_id_with_several_vectors(spark):
     """Each row counts its own vector's links; the id is one node, so what either reaches is one component."""
     rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [0.99, 0.05, 0.0]), (9, [0.05, 0.99, 0.0]), (10, [0.0, 0.99, 0.04]), (11, [0.0, 0.0, 1.0]), (12, [1.0, 2.0]), (13, [2.0, 4.0])]
