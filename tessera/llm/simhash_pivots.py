@@ -52,7 +52,7 @@ from .shingle_order import HOT, first_keys, hot_shingles
 from .shingles import pressed, shingle_hashes, shingle_set
 
 #: Number of pivots, and the seed that their fingerprints come from.
-PIVOTS, PIVOT_SEED = 12, 20
+PIVOTS, PIVOT_SEED = 32, 20
 #: Pairs that a task expands at once, and rows that it gathers before it compares (the rows of a key come together anyway).
 CHUNK, HELD = 100_000, 50_000
 #: Rows of a key that a task compares at once; a hot key is split into blocks of about as many.
