@@ -7,7 +7,8 @@ whole text and writes for each partition
   unsigned 16-bit (32-bit if the vocabulary needs it);
 * ``<part>.idx``: one little-endian unsigned 64-bit offset for each document and
   one more for the end, counted in ids from the start of the partition;
-* ``<part>.ids``: the documents' ids, signed 64-bit.
+* ``<part>.ids``: the documents' ids, signed 64-bit;
+* ``<part>.nul``: a byte for each document, 1 if its id is null.
 
 The manifest it returns has one row for each partition, with the partition's
 base: the number of ids in all partitions before it, from prefix sums over the
