@@ -108,6 +108,20 @@ def _vacuum_with_index(spark, sf_dir):
     return ex.query(f"{_L} WHERE line = 3")
 
 
+def _indexed_lines(where: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf_dir):
+        ex = _lines(spark, sf_dir)
+        ex.execute("CREATE INDEX l_k ON l (k)")
+        ex.execute("INSERT INTO l VALUES (-5, 1, 2.5, 'new')")
+        ex.execute("UPDATE l SET q = 0 WHERE k < 100")
+        return ex.query(f"{_L} WHERE {where}")
+
+    return run
+
+
+_INDEXED = "(SELECT l_orderkey k, l_linenumber line, CASE WHEN l_orderkey < 100 THEN 0 ELSE l_quantity END q, l_returnflag note FROM lineitem UNION ALL SELECT -5, 1, 0, 'new')"
+
+
 def _vacuum_to_empty(spark, sf_dir):
     ex = _lines(spark, sf_dir)
     ex.execute("DELETE FROM l")
@@ -324,6 +338,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "update_some_lines": (_update_some_lines, _LINES.format("CASE WHEN l_linenumber = 2 THEN 1.5 ELSE l_quantity END")),
     "rows_touched": (_rows_touched, "SELECT CAST(SUM(CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END) AS BIGINT) updated, CAST(SUM(CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END) AS BIGINT) deleted FROM lineitem"),
     "vacuum_with_index": (_vacuum_with_index, f"{_LINES.format('l_quantity')} WHERE l_linenumber = 3 AND l_quantity <= 40"),
+    **{
+        f"index_{name}": (_indexed_lines(where), f"SELECT k, line, q, note FROM {_INDEXED} WHERE {where}")
+        for name, where in (("range", "k >= 90 AND k < 120"), ("in", "k IN (7, 100, 101, 999999999)"), ("or", "k = 3 OR note = 'new'"), ("ne", "k != 5 AND k <= 9"))
+    },
     "vacuum_to_empty": (_vacuum_to_empty, "SELECT CAST(1 AS BIGINT) k, 2 line, CAST(3.5 AS DOUBLE) q, 'x' note"),
     "vacuum_noop": (_vacuum_noop, _values(_ALL, "id INTEGER, name VARCHAR")),
     "vacuum_open_txn": (_vacuum_open_txn, _values([(1,), (2,)], "a INTEGER")),

@@ -322,3 +322,24 @@ def test_handle_and_result(spark, tmp_path):
 
 def test_errors_of_spark_have_a_status():
     assert [engine_error(e).code for e in (OSError("No space left on device"), OSError("x"), RuntimeError("java.lang.OutOfMemoryError: heap"), RuntimeError("is not a Parquet file"), RuntimeError("?"))] == ["no_space", "io_error", "out_of_memory", "corrupted_data", "fatal"]
+
+
+def test_index_prunes_files_by_the_manifest(db, ex, spark, monkeypatch):
+    """A lookup reads only files whose bounds hold the value, in SELECT, UPDATE and DELETE; nulls and odd values do no harm."""
+    ex.execute("CREATE TABLE t (id INT64, x FLOAT64, name VARCHAR)")
+    rows = spark.range(8000).selectExpr("id", "CASE WHEN id % 100 = 0 THEN double('nan') ELSE id / 7 END", "CASE WHEN id % 5 = 0 THEN NULL ELSE concat('n', id) END")
+    for column in ("id", "x", "name"):
+        ex.execute(f"CREATE INDEX by_{column} ON t ({column})")
+    db.append("t", rows)
+    monkeypatch.setattr("tessera.session.TARGET", sum(f.bytes for f in db.log.head().tables["t"].files) // 8)
+    ex.execute("VACUUM t")
+    n = len(db.log.head().tables["t"].files)
+    read = lambda where: len(ex.query(f"SELECT id FROM t WHERE {where}").inputFiles())
+    assert n >= 6 and read("id = 4711") == 1 and read("t.id IN (3, 7990)") == 2 and read("id >= 0") == n and read("id < 0") == 0
+    assert read("id = 4711 OR id = 12") == 2 and read("id = 'x' OR x > 1") == n and read("id > 10 AND id < 12") == 1
+    assert [r["id"] for r in ex.execute("SELECT id FROM t WHERE id = 4711")] == [4711]
+    assert len(ex.execute("SELECT id FROM t WHERE x > 1142.0")) == spark.range(8000).where("id % 100 = 0 OR id / 7 > 1142").count()
+    assert ex.execute("SELECT id FROM t WHERE name = 'n4711'") == [{"id": 4711}] and ex.execute("SELECT id FROM t WHERE name = 'zzz'") == []
+    assert ex.execute("UPDATE t SET id = 9000 WHERE id = 4711") == [{"rows_updated": 1}] and ex.execute("DELETE FROM t WHERE id = 9000") == [{"rows_deleted": 1}]
+    assert ex.execute("SELECT COUNT(*) FROM t") == [{"COUNT(*)": 7999}]
+    assert Executor(Database.open(db.path, spark)).query("SELECT id FROM t WHERE id = 5").count() == 1
