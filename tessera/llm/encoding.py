@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
 #: Pieces whose ids a worker remembers; later ones are encoded each time.
-REMEMBER = 500_000
+REMEMBER = 350_000
 #: White space before a space, where a cut at the space would split a run.
 RUN = r"[\s\pZ\x0b\x1c-\x1f\x85] "
 
