@@ -118,7 +118,9 @@ class Encoder:
             codes[starts[:-1]] = len(words) + firsts.indices.to_numpy()
         else:
             pieces = self._pieces(words)
+        del plain, units, coded, words  # as large as the texts; the ids need the room
         flat = pa.array(pieces, pa.large_binary()).take(pa.array(codes))
+        del pieces, codes
         before = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1) // self.dtype.itemsize
         ids = np.frombuffer(flat.buffers()[2] or b"", self.dtype)[before[0] : before[-1]]
         lengths = before[starts[1:]] - before[starts[:-1]]
@@ -144,8 +146,7 @@ class Encoder:
             while end < len(texts) and room >= sizes[end]:
                 room -= int(sizes[end])
                 end += 1
-            lengths, ids = self._slice(texts.slice(at, end - at))
-            yield at, lengths, ids
+            yield at, *self._slice(texts.slice(at, end - at))  # held by whoever asked, not here
             at = end
 
 

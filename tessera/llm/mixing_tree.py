@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, free_names, wide, written
+from .shared import WORD, free_names, told, wide, written
 
 #: Blocks of a source: at least (if they have so many documents), by documents of a block, and at most.
 BLOCKS, LEAST_DOCS, BLOCK_DOCS, MOST_BLOCKS = 512, 16, 4096, 8192
@@ -199,7 +199,7 @@ def _last(sized: DataFrame, made: Plan) -> DataFrame:
     """Documents of the partly drawn blocks, equal ones as one row with ``copies``, and how many of them are taken once more: ``extra``."""
     spark = sized.sparkSession
     partly = [(s, b) for s, b, _, _, part in made.draws if part]
-    there = spark.createDataFrame(partly, "bs string, bb int")
+    there = told(spark, partly, "bs string, bb int")
     hit = sized.join(_maybe_broadcast(there, len(partly)), F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")), "left_semi")
     names = ["doc_id", "source", "block", "size", "same"]
     edge = written(hit.groupBy(*names).agg(F.count("*").alias("copies")), "edge")
@@ -210,7 +210,7 @@ def _last(sized: DataFrame, made: Plan) -> DataFrame:
         large = {s: max(16, min(MOST_BLOCKS, ceil(2 * k / EDGE) * 16)) for s, k in n.items() if k > EDGE}
         if not large:
             break
-        parts = spark.createDataFrame(list(large.items()), "ps string, parts int")
+        parts = told(spark, list(large.items()), "ps string, parts int")
         cut = edge.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("ps")), "left").drop("ps")
         cut = written(cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "same", "size", F.lit(SEED + level)), "parts").cast("int")).drop("parts"), "cut")
         found: dict[str | None, list[tuple[int, int, int]]] = {}
@@ -221,12 +221,12 @@ def _last(sized: DataFrame, made: Plan) -> DataFrame:
             order = _permuted(some, source, SEED + level)
             at, end, fills[source] = _edge(order, fills[source])
             said += [(source, b, 0 if k < at else 1) for k, (b, _, _) in enumerate(order[:end])]
-        told = spark.createDataFrame(said, "ps string, pp int, undecided int")
-        cut = cut.join(_maybe_broadcast(told, len(said)), F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp")), "left")
+        chosen = told(spark, said, "ps string, pp int, undecided int")
+        cut = cut.join(_maybe_broadcast(chosen, len(said)), F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp")), "left")
         open_ = F.col("part").isNull() | (F.coalesce("undecided", F.lit(0)) == 1)
         done.append(cut.where(~open_).select(*names, "copies", F.when(F.col("undecided") == 0, F.col("copies")).otherwise(0).alias("extra")))
         edge = written(cut.where(open_).select(*names, "copies"), "edge")
-    words = spark.createDataFrame(list(fills.items()), "fs string, fill long")
+    words = told(spark, list(fills.items()), "fs string, fill long")
     last = edge.join(_maybe_broadcast(words, len(fills)), F.col("source").eqNullSafe(F.col("fs"))).drop("fs")
     last = last.withColumn("tie", F.xxhash64("doc_id", F.lit(SEED + 1)))
     filled = last.groupBy("source").applyInPandas(_fill, "doc_id long, source string, block int, size long, same long, copies long, extra long")
@@ -247,7 +247,7 @@ def _sized(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def _blocks(spark, count: list) -> DataFrame:
-    return _maybe_broadcast(spark.createDataFrame(count, "cs string, blocks int"), len(count))
+    return _maybe_broadcast(told(spark, count, "cs string, blocks int"), len(count))
 
 
 def _block(doc_id: Column, same: Column, blocks: Column) -> Column:
@@ -270,14 +270,14 @@ def takes(docs: DataFrame) -> DataFrame:
     blocks: dict[tuple[str | None, int], tuple[list[int], list[int]]] = {}
     for source, block, _, shard, part in made.draws:
         blocks.setdefault((source, block), ([], []))[part].append(shard)
-    drawn = spark.createDataFrame([(s, b, *t) for (s, b), t in blocks.items()], "bs string, bb int, whole array<int>, part array<int>")
+    drawn = told(spark, [(s, b, *t) for (s, b), t in blocks.items()], "bs string, bb int, whole array<int>, part array<int>")
     drawn = _maybe_broadcast(drawn, len(blocks))
     on = F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb"))
     plain = sized.join(drawn, on, "left").where("part is null or size(part) = 0")
     last = _last(sized, made).join(drawn, on).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     last = last.withColumn("whole", F.when(F.col("copy") <= F.col("extra"), F.concat("whole", "part")).otherwise(F.col("whole")))
     kept = ["doc_id", "source", "size", "whole"]
-    named = _maybe_broadcast(spark.createDataFrame(made.sources, "ns string, source_size long, target double"), len(made.sources))
+    named = _maybe_broadcast(told(spark, made.sources, "ns string, source_size long, target double"), len(made.sources))
     out = plain.select(*kept).unionAll(last.select(*kept)).join(named, F.col("source").eqNullSafe(F.col("ns")), "left")
     by_shard = F.transform(F.array_sort("whole"), lambda x: F.concat_ws(":", x.cast("string"), F.col("size").cast("string")))
     taken = F.coalesce(F.size("whole"), F.lit(0)) * F.col("size")
@@ -296,7 +296,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({own: F.col("source").cast("string"), same: F.xxhash64("text"), size: size_of()})
     rows = rows.join(_blocks(spark, count).toDF(f"{own}c", f"{block}c"), F.col(own).eqNullSafe(F.col(f"{own}c")), "left")
     rows = rows.withColumn(block, _block(F.col("doc_id").cast("long"), F.col(same), F.col(f"{block}c")))
-    draws = spark.createDataFrame(made.draws, f"{own}d string, {block}d int, {turn} int, mix_shard int, {order} boolean")
+    draws = told(spark, made.draws, f"{own}d string, {block}d int, {turn} int, mix_shard int, {order} boolean")
     at = rows.drop("mix_shard").join(_maybe_broadcast(draws, len(made.draws)), F.col(own).eqNullSafe(F.col(f"{own}d")) & (F.col(block) == F.col(f"{block}d")))
     names = [n for n in names if n != "mix_shard"]
     plain = at.where(~F.col(order)).select(*names, "mix_shard", turn)

@@ -82,6 +82,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "word
     """``ENCODED``: a document's parts of up to PART ``ids``, with its ``key`` on the curve, a hash of its ids as ``tie`` and all of its ids as ``total``; the end id is included."""
 
     def run(batches):
+        tidy()  # what an earlier stage left in this worker
         enc = encoder(tokenizer_path, kind)
         for b in batches:
             for at, lengths, ids in enc.encode(b.column(1)):
@@ -98,6 +99,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "word
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ended)])
                 columns = [b.column(0).take(pa.array(own + at)), *(pa.array(x) for x in (keys[own], ties[own], start, n, total[own])), blob.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ENCODED.split(", ")])
+                del lengths, ids, keys, ended, ties, blob, columns  # before the next slice is encoded
         tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)

@@ -17,6 +17,8 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.scratch import shared_dir
 
@@ -89,6 +91,17 @@ def sweep(spark: SparkSession, older_than_s: float = 24 * 3600) -> int:
     return len(old)
 
 
+def told(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The driver's rows as a table that the plan holds.
+
+    ``createDataFrame`` of a list would have Python workers unpickle it, in a daemon of their own beside the
+    operators' one, and executors hold those for a minute longer.
+    """
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

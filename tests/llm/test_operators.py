@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_itq, fingerprint_simhash, html_blocks, license_templates, mixing_tree, packing_hilbert, pii_boost, queries, simhash_pivots, token_files, toxicity_mil
+from tessera.llm import embedding_itq, fingerprint_simhash, html_blocks, license_templates, mixing_tree, packing_hilbert, pii_boost, queries, shared, simhash_pivots, token_files, toxicity_mil
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -360,6 +360,19 @@ def test_mix_is_what_its_shards_take(spark, monkeypatch):
     assert set(shard_words(mixing_tree.takes(docs).collect())) == {0} != set(shard_words(rows))
 
 
+def test_mix_has_its_own_tables_in_the_plan(spark, monkeypatch):
+    """Tables of the driver's rows start no Python workers: executors would hold those, and their daemon, beside the next stage's."""
+    frames = []
+    monkeypatch.setattr(mixing_tree, "written", lambda df, name: frames.append(df) or shared.written(df, name))
+    docs = documents(spark)
+    frames += [mixing_tree.mixed(docs), mixing_tree.takes(docs)]
+    assert len(frames) > 6 and not any("ExistingRDD" in df._jdf.queryExecution().executedPlan().toString() for df in frames)
+    rows = [(None, 1, True, [1, 2], 2), ("a", 2, False, [], 0.5)]
+    assert [tuple(r) for r in shared.told(spark, rows, "s string, n int, b boolean, l array<int>, d double").collect()] == rows
+    empty = shared.told(spark, [], "s string, n int")
+    assert empty.collect() == [] and empty.dtypes == [("s", "string"), ("n", "int")]
+
+
 def test_mix_splits_large_edges_and_keeps_clashing_columns(spark, monkeypatch):
     """Blocks that are too large for a task are split again; equal rows, null ids and columns of any name do no harm."""
     monkeypatch.setattr(mixing_tree, "EDGE", 64)
