@@ -3,6 +3,7 @@
 import io
 import threading
 
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.cli import Shell
@@ -14,6 +15,8 @@ from tessera.plans.parser import parse
 from tessera.session import Database, Executor
 from tessera.streaming.schedule import BackupSchedule
 
+from .oracle import connection, same
+
 
 @pytest.fixture
 def db(spark, tmp_path):
@@ -343,3 +346,59 @@ def test_index_prunes_files_by_the_manifest(db, ex, spark, monkeypatch):
     assert ex.execute("UPDATE t SET id = 9000 WHERE id = 4711") == [{"rows_updated": 1}] and ex.execute("DELETE FROM t WHERE id = 9000") == [{"rows_deleted": 1}]
     assert ex.execute("SELECT COUNT(*) FROM t") == [{"COUNT(*)": 7999}]
     assert Executor(Database.open(db.path, spark)).query("SELECT id FROM t WHERE id = 5").count() == 1
+
+
+# -- what a task sorts ----------------------------------------------------------------------------
+
+
+def rows_by_file(db, table):
+    return [pq.read_metadata(f"{db.path}/{f.path}").num_rows for f in db.log.head().tables[table].files]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of the largest file of each write, while a task is to sort 100,000 bytes (775 rows of the lines)."""
+    seen, write = [], Database.write
+    monkeypatch.setattr("tessera.session.SORTED", 100_000, raising=False)
+
+    def noting(self, table, state, *args):
+        files = write(self, table, state, *args)
+        seen.append(max(pq.read_metadata(f"{self.path}/{f.path}").num_rows for f in files))
+        return files
+
+    monkeypatch.setattr(Database, "write", noting)
+    return seen
+
+
+@pytest.mark.parametrize("name", ["index_ne"])
+def test_lines_are_sorted_in_bounded_parts(spark, written, name):
+    """6,000 rows never meet in one task's sort, and the result is the oracle's."""
+    sf_dir = "/root/testdata/sf0.001"
+    ok, told = same(spark, queries.queries()[name], queries.oracle_sql()[name], sf_dir, connection(sf_dir))
+    assert ok, told
+    assert len(written) > 1 and max(written[1:]) <= 1100, written
+
+
+def test_index_deals_rows_by_memory(db, ex, spark):
+    """Rows that compress to a few MB, and take 640 MB in memory, are dealt to two tasks."""
+    ex.execute("CREATE TABLE t (id INT64, pad VARCHAR)")
+    db.append("t", spark.range(300_000).selectExpr("id", "repeat('x', 2000)"))
+    assert sum(f.bytes for f in db.log.head().tables["t"].files) < 16 << 20
+    ex.execute("CREATE INDEX t_id ON t (id)")
+    assert max(rows_by_file(db, "t")) < 200_000 and sum(rows_by_file(db, "t")) == 300_000
+
+
+def test_update_of_indexed_rows_is_dealt(db, ex, spark, monkeypatch):
+    """An UPDATE of all rows sorts no more than a task may, also where its text makes them larger."""
+    ex.execute("CREATE TABLE t (id INT64, name VARCHAR)")
+    ex.execute("CREATE INDEX t_id ON t (id)")
+    db.append("t", spark.range(4000).selectExpr("4000 - id", "'a'"))
+    monkeypatch.setattr("tessera.session.SORTED", 100_000, raising=False)
+    assert ex.execute("UPDATE t SET name = 'b'") == [{"rows_updated": 4000}]
+    assert max(rows_by_file(db, "t")) <= 1200
+    assert ex.execute(f"UPDATE t SET name = '{'c' * 400}'") == [{"rows_updated": 4000}]
+    assert max(rows_by_file(db, "t")) <= 300
+    assert ex.execute("UPDATE t SET name = 'd' WHERE id <= 100") == [{"rows_updated": 100}]
+    assert ex.execute("SELECT COUNT(*), MIN(id), MAX(id) FROM t") == [{"COUNT(*)": 4000, "MIN(id)": 1, "MAX(id)": 4000}]
+    assert {r["name"] for r in ex.execute("SELECT name FROM t WHERE id <= 100")} == {"d"}
+    assert len(ex.query("SELECT name FROM t WHERE id = 4000").inputFiles()) == 1
