@@ -402,3 +402,21 @@ def test_update_of_indexed_rows_is_dealt(db, ex, spark, monkeypatch):
     assert ex.execute("SELECT COUNT(*), MIN(id), MAX(id) FROM t") == [{"COUNT(*)": 4000, "MIN(id)": 1, "MAX(id)": 4000}]
     assert {r["name"] for r in ex.execute("SELECT name FROM t WHERE id <= 100")} == {"d"}
     assert len(ex.query("SELECT name FROM t WHERE id = 4000").inputFiles()) == 1
+
+
+def test_vacuum_merges_up_to_what_a_task_sorts(db, ex, spark, monkeypatch):
+    """Small files become as many as their rows in memory need, and stay from then on; a file with many rows isn't sorted again."""
+    ex.execute("CREATE TABLE t (id INT64, name VARCHAR)")
+    db.append("t", spark.range(4000).selectExpr("id", "'a'").coalesce(1))
+    large = db.log.head().tables["t"].files
+    db.append("t", spark.range(4000, 8000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'a' END").repartition(16, "id"))
+    monkeypatch.setattr("tessera.session.SORTED", 100_000, raising=False)
+    ex.execute("VACUUM t")
+    files = db.log.head().tables["t"].files
+    assert large[0] in files and sorted(rows_by_file(db, "t"))[-2] <= 1200 and 5 <= len(files) <= 8
+    ex.execute("VACUUM t")
+    assert len([f for f in db.log.head().tables["t"].files if f in files]) >= len(files) - 2
+    ids = [r["id"] for r in ex.execute("SELECT id FROM t WHERE id < 4000")]
+    assert ids == list(range(4000))
+    assert ex.execute("UPDATE t SET name = 'b'") == [{"rows_updated": 8000}]
+    assert ex.execute("SELECT COUNT(name), MIN(id), MAX(id) FROM t") == [{"COUNT(name)": 8000, "MIN(id)": 0, "MAX(id)": 7999}]
