@@ -370,7 +370,7 @@ def written(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["index_ne", "index_or"])
+@pytest.mark.parametrize("name", ["index_ne", "index_or", "vacuum_with_index"])
 def test_lines_are_sorted_in_bounded_parts(spark, written, name):
     """6,000 rows never meet in one task's sort, and the result is the oracle's."""
     sf_dir = "/root/testdata/sf0.001"
@@ -420,3 +420,18 @@ def test_vacuum_merges_up_to_what_a_task_sorts(db, ex, spark, monkeypatch):
     assert ids == list(range(4000))
     assert ex.execute("UPDATE t SET name = 'b'") == [{"rows_updated": 8000}]
     assert ex.execute("SELECT COUNT(name), MIN(id), MAX(id) FROM t") == [{"COUNT(name)": 8000, "MIN(id)": 0, "MAX(id)": 7999}]
+
+
+def test_delete_and_backup_of_indexed_rows_are_dealt(db, ex, spark, tmp_path, monkeypatch):
+    """A DELETE that leaves rows in all files, and a backup, sort no more than a task may."""
+    ex.execute("CREATE TABLE t (id INT64, k INT32)")
+    ex.execute("CREATE INDEX t_k ON t (k)")
+    db.append("t", spark.range(8000).selectExpr("id", "1").repartition(4, "id"))
+    monkeypatch.setattr("tessera.session.SORTED", 100_000, raising=False)
+    ex.execute(f"BACKUP TO '{tmp_path}/copy'")
+    copy = Database.open(f"{tmp_path}/copy", spark)
+    assert max(rows_by_file(copy, "t")) <= 1300 and sum(rows_by_file(copy, "t")) == 8000
+    assert ex.execute("DELETE FROM t WHERE id < 100") == [{"rows_deleted": 100}]
+    assert max(rows_by_file(db, "t")) <= 1300
+    assert sorted(r["id"] for r in ex.execute("SELECT id FROM t")) == list(range(100, 8000))
+    assert sorted(r["id"] for r in Executor(copy).execute("SELECT id FROM t WHERE k = 1")) == list(range(8000))
