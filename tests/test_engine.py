@@ -370,7 +370,7 @@ def written(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["index_ne", "index_or", "vacuum_with_index", "index_in"])
+@pytest.mark.parametrize("name", ["index_ne", "index_or", "vacuum_with_index", "index_in", "index_range"])
 def test_lines_are_sorted_in_bounded_parts(spark, written, name):
     """6,000 rows never meet in one task's sort, and the result is the oracle's."""
     sf_dir = "/root/testdata/sf0.001"
